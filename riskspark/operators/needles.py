@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.session import broadcast_if_small
+from riskspark.session import BROADCAST_ROW_LIMIT
 
 ANCHOR_WORDS = 3
 _WORD = r"(?U)[\p{L}\p{N}_]+"
@@ -45,12 +45,18 @@ def scan_needles(files: DataFrame, needles: DataFrame) -> DataFrame:
             )
         ),
     )
+    keys = ["repo_id", "snapshot_id", "path"]
     text = files.where(F.col("text").isNotNull()).withColumn("low", F.lower("text"))
-    spread = text.withColumn("words", _words(F.col("low"))).select(
-        "repo_id", "snapshot_id", "path", "low", F.explode(triples).alias("anchor")
-    )
-    return (
-        spread.join(broadcast_if_small(checked), "anchor")
-        .where(F.contains("low", F.col("needle")))
-        .select("repo_id", "snapshot_id", "path", "needle_id")
+    worded = text.withColumn("words", _words(F.col("low")))
+    if checked.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+        spread = worded.select(*keys, "low", F.explode(triples).alias("anchor"))
+        found = spread.join(F.broadcast(checked), "anchor").where(F.contains("low", F.col("needle")))
+        return found.select(*keys, "needle_id")
+    pairs = (
+        worded.select(*keys, F.explode(triples).alias("anchor"))
+        .join(checked.select("anchor", "needle_id"), "anchor")
+        .select(*keys, "needle_id")
+        .distinct()
     )
+    candidates = pairs.join(lowered, "needle_id").join(text.select(*keys, "low"), keys)
+    return candidates.where(F.contains("low", F.col("needle"))).select(*keys, "needle_id")
