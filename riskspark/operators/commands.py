@@ -9,6 +9,7 @@ from riskspark.catalogue import rules as R
 from riskspark.catalogue.files import COMMAND_TARGET_TOOLS
 from riskspark.functions.paths import collapse_dots
 from riskspark.functions.regex import SEP, jre
+from riskspark.functions.rows import exploded, numbered
 from riskspark.functions.scope import build_tool_invocation, classify_scope
 from riskspark.functions.words import joined_words, split_segments
 
@@ -56,13 +57,12 @@ def _segment_rules(segment: Column) -> list[Column]:
 def scan_commands(commands: DataFrame) -> DataFrame:
     """R17. Rules per segment, one finding per rule and command; ``commands`` keeps its keys."""
     keys = [c for c in commands.columns if c != "command"]
-    segments = commands.select(*keys, "command", F.posexplode(split_segments(F.col("command"))).alias("seg_no", "segment"))
-    numbered = F.array(
+    segments = numbered(commands, split_segments(F.col("command")), "seg_no", "segment")
+    matches = F.array(
         *[F.when(condition, F.lit(i)) for i, condition in enumerate(_segment_rules(F.col("segment")))]
     )
     hits = (
-        segments.select(*keys, "command", "seg_no", F.explode(numbered).alias("rule_ord"))
-        .where("rule_ord IS NOT NULL")
+        exploded(segments, matches, "rule_ord")
         .groupBy(*keys, "command", "rule_ord")
         .agg(F.min("seg_no").alias("seg_no"))
     )
@@ -87,9 +87,9 @@ def scan_commands(commands: DataFrame) -> DataFrame:
 
 def selected_paths(plans: DataFrame) -> DataFrame:
     """Paths a command names for a tool to read: ``plan_id, snapshot, path, role``."""
-    segments = plans.select(
-        "plan_id", "repo_id", "snapshot_id", F.explode(split_segments(F.col("command"))).alias("segment")
-    ).withColumn("joined", joined_words(F.col("segment")))
+    segments = exploded(plans, split_segments(F.col("command")), "segment").select(
+        "plan_id", "repo_id", "snapshot_id", joined_words(F.col("segment")).alias("joined")
+    )
     built = segments.withColumn("inv", build_tool_invocation(F.col("joined")))
 
     def items(values: Column, role: str) -> Column:
@@ -108,7 +108,7 @@ def selected_paths(plans: DataFrame) -> DataFrame:
     raw = F.translate(F.col("t.raw"), "\\", "/")
     base = F.translate(F.coalesce(F.col("inv.project_dir"), F.lit("")), "\\", "/")
     return (
-        built.withColumn("t", F.explode(named))
+        exploded(built, named, "t")
         .where(~raw.startswith("/") & ~base.startswith("/"))
         .select(
             "plan_id", "repo_id", "snapshot_id", collapse_dots(F.concat_ws("/", base, raw)).alias("path"),

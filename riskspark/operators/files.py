@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskspark.catalogue import files as C
 from riskspark.functions import validate as V
 from riskspark.functions.hashing import content_digest
+from riskspark.functions.rows import exploded
 from riskspark.functions.paths import basename, collision_key, dirname, suffix
 from riskspark.session import BROADCAST_ROW_LIMIT
 
@@ -73,7 +74,7 @@ def exclude_marked_dirs(files: DataFrame, marker: str = C.FIXTURE_MARKER) -> Dat
         F.sequence(F.lit(1), F.size(parents)), lambda n: F.array_join(F.slice(parents, F.lit(1), n), "/")
     )
     excluded = (
-        files.select(*SNAPSHOT, "path", F.explode(prefixes).alias("marked_dir"))
+        exploded(files.select(*SNAPSHOT, "path"), prefixes, "marked_dir")
         .join(marked, [*SNAPSHOT, "marked_dir"], "left_semi")
         .select(*SNAPSHOT, "path")
         .distinct()
@@ -195,7 +196,7 @@ def limit_breaches(
         ),
     )
     return (
-        totals.select(*SNAPSHOT, F.explode(limits).alias("l"))
+        exploded(totals, limits, "l")
         .select(*SNAPSHOT, F.col("l.name").alias("limit_name"), F.col("l.value").alias("value"), F.col("l.max").alias("maximum"))
         .where("value > maximum")
     )

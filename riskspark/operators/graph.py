@@ -17,6 +17,7 @@ from riskspark.catalogue import rules as R
 from riskspark.catalogue.files import COMPOSE_NAMES, MAX_CHAIN_DEPTH, MAX_NODES
 from riskspark.functions.paths import basename, collapse_dots, dirname
 from riskspark.functions.regex import SEP
+from riskspark.functions.rows import exploded, numbered
 from riskspark.functions.scope import build_tool_invocation
 from riskspark.functions.targets import invocation_targets
 from riskspark.functions.words import joined_words, split_segments
@@ -252,10 +253,8 @@ def _first_per(frame: DataFrame, keys: list[str], order: list[str], limit: int)
 
 def _segments(plans: DataFrame) -> DataFrame:
     return (
-        plans.select(
-            "plan_id", *SNAP, "scope", "command",
-            F.posexplode(split_segments(F.col("command"))).alias("seg", "segment"),
-        )
+        numbered(plans, split_segments(F.col("command")), "seg", "segment")
+        .select("plan_id", *SNAP, "scope", "command", "seg", "segment")
         .withColumn("joined", joined_words(F.col("segment")))
         .withColumn("words", F.lower("joined"))
     )
@@ -290,7 +289,7 @@ def _build_requests(segments: DataFrame) -> DataFrame:
 
 def _group_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int) -> DataFrame:
     """Files of a group for each request. Only as many as a plan has nodes can matter."""
-    grouped = walk.select(*SNAP, "path", F.explode(_seed_classes(F.col("path"))).alias("group"))
+    grouped = exploded(walk.select(*SNAP, "path"), _seed_classes(F.col("path")), "group")
     grouped = _first_per(grouped, [*SNAP, "group"], ["path"], max_nodes)
     return requests.join(grouped, [*SNAP, "group"]).select(
         "plan_id", *SNAP, "group", "path", F.array("seg", F.lit(0), F.col("rank")).alias("ord")
@@ -299,7 +298,7 @@ def _group_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int) -> DataFr
 
 def _exact_seeds(requests: DataFrame, index: DataFrame) -> DataFrame:
     """Files named outright; ``requests`` has ``paths`` as array of (order, group, path)."""
-    spread = requests.select("plan_id", *SNAP, "seg", F.explode("paths").alias("p"))
+    spread = exploded(requests.select("plan_id", *SNAP, "seg", "paths"), F.col("paths"), "p")
     return (
         spread.select("plan_id", *SNAP, "seg", "p.*")
         .join(index.select(*SNAP, "path"), [*SNAP, "path"])
@@ -366,16 +365,12 @@ def _java_requests(requests: DataFrame) -> DataFrame:
 def _build_src_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int) -> DataFrame:
     """Build files below ``buildSrc`` of the project directory a Gradle command selects."""
     parts = F.split("path", "/")
-    found = walk.where(basename(F.col("path")).isin("build.gradle", "build.gradle.kts")).select(
-        *SNAP,
-        "path",
-        F.explode(
-            F.transform(
-                F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: F.element_at(parts, n) == "buildSrc"),
-                lambda n: F.array_join(F.slice(parts, F.lit(1), n - 1), "/"),
-            )
-        ).alias("build_base"),
+    bases = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: F.element_at(parts, n) == "buildSrc"),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n - 1), "/"),
     )
+    builds = walk.where(basename(F.col("path")).isin("build.gradle", "build.gradle.kts"))
+    found = exploded(builds.select(*SNAP, "path"), bases, "build_base")
     found = _first_per(found, [*SNAP, "build_base"], ["path"], max_nodes)
     return requests.where("scoped").join(found, [*SNAP, "build_base"]).select(
         "plan_id", *SNAP, F.lit("gradle").alias("group"), "path",
@@ -463,10 +458,7 @@ def expand_commands(
         rows = cut(rows)
         if rows.isEmpty():
             break
-        parsed = rows.select(
-            "plan_id", *SNAP, "ord", "parent_ord", "parent_file", "base_dir", "reason", "trail",
-            F.posexplode(invocation_targets(F.col("command"))).alias("i", "t"),
-        ).select(
+        parsed = numbered(rows, invocation_targets(F.col("command")), "i", "t").select(
             "plan_id", *SNAP, F.concat("ord", F.array("i")).alias("ord"), "parent_ord", "parent_file", "base_dir",
             "reason", "trail", "t.kind", "t.target", F.col("t.reason").alias("own_reason"),
         )
@@ -484,8 +476,8 @@ def expand_commands(
                 "base_dir", F.lit(None).cast("string").alias("fallback_dir"),
             )
         )
-        nested = parsed.where("kind = 'nested'").select(
-            "*", F.posexplode(split_segments(F.col("target"))).alias("j", "segment")
+        nested = numbered(
+            parsed.where("kind = 'nested'"), split_segments(F.col("target")), "j", "segment"
         ).select(
             "plan_id", *SNAP, F.concat("ord", F.array("j")).alias("ord"), "parent_ord", "parent_file", "base_dir",
             F.col("segment").alias("command"), "reason", "trail",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.paths import strip
+from riskspark.functions.rows import numbered
 from riskspark.functions.text import split_lines, strip_comment
 
 FILE = ["repo_id", "snapshot_id", "path"]
@@ -13,7 +14,7 @@ FILE = ["repo_id", "snapshot_id", "path"]
 
 def active_lines(files: DataFrame) -> DataFrame:
     """W7. Numbered lines that hold more than a comment."""
-    lines = files.where(F.col("text").isNotNull()).select(*FILE, F.posexplode(split_lines(F.col("text"))).alias("i", "raw"))
+    lines = numbered(files, split_lines(F.col("text")), "i", "raw")
     return (
         lines.select(*FILE, (F.col("i") + 1).alias("line_no"), strip_comment(F.col("raw")).alias("line"))
         .where(strip(F.col("line")) != "")
@@ -22,7 +23,7 @@ def active_lines(files: DataFrame) -> DataFrame:
 
 def section_of_line(files: DataFrame, header: str = r"^\s*\[([^\[\]]+)\]\s*$") -> DataFrame:
     """W8. Each line with the last section header at or above it."""
-    lines = files.where(F.col("text").isNotNull()).select(*FILE, F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
+    lines = numbered(files, split_lines(F.col("text")), "i", "line")
     name = F.when(F.col("line").rlike(header), F.regexp_extract("line", header, 1))
     down = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -35,9 +36,7 @@ def section_of_line(files: DataFrame, header: str = r"^\s*\[([^\[\]]+)\]\s*$") -
 
 def block_depth(files: DataFrame) -> DataFrame:
     """W9. Every brace with the nesting depth it leaves behind."""
-    braces = files.where(F.col("text").isNotNull()).select(
-        *FILE, F.posexplode(F.regexp_extract_all("text", F.lit("[{}]"), 0)).alias("pos", "brace")
-    )
+    braces = numbered(files, F.regexp_extract_all("text", F.lit("[{}]"), 0), "pos", "brace").select(*FILE, "pos", "brace")
     step = F.when(F.col("brace") == "{", 1).otherwise(-1)
     run = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return braces.withColumn("depth", F.sum(step).over(run).cast("int"))

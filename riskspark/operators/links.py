@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.catalogue import rules as R
 from riskspark.functions.regex import jre
+from riskspark.functions.rows import exploded, numbered
 from riskspark.functions.text import collapse_ws, ellipsize, line_number
 from riskspark.operators.scan import describe, rule_applies
 
@@ -61,9 +62,7 @@ def extract_links(docs: DataFrame) -> DataFrame:
     )
     listed = docs.where(F.col("text").isNotNull()).withColumn("found", found).withColumn("urls", F.col("found.url"))
     return (
-        listed.select(
-            "repo_id", "snapshot_id", "path", "text", "urls", F.posexplode("found").alias("ord", "link")
-        )
+        numbered(listed, F.col("found"), "ord", "link")
         .where(~F.col("link.raw") | (F.array_position("urls", F.col("link.url")) == F.col("ord") + 1))
         .select(
             "repo_id",
@@ -159,8 +158,7 @@ def classify_links(links: DataFrame, origins: DataFrame) -> DataFrame:
         ),
     )
     first = (
-        flagged.select("repo_id", "snapshot_id", "path", F.explode(entries).alias("e"))
-        .where("e IS NOT NULL")
+        exploded(flagged, entries, "e")
         .groupBy("repo_id", "snapshot_id", "path", "e.no")
         .agg(F.min_by("e", "e.ord").alias("e"))
         .select("repo_id", "snapshot_id", "path", "e.*")

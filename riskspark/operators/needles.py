@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.functions.rows import exploded
 from riskspark.session import BROADCAST_ROW_LIMIT
 
 ANCHOR_WORDS = 3
@@ -49,11 +50,12 @@ def scan_needles(files: DataFrame, needles: DataFrame) -> DataFrame:
     text = files.where(F.col("text").isNotNull()).withColumn("low", F.lower("text"))
     worded = text.withColumn("words", _words(F.col("low")))
     if checked.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
-        spread = worded.select(*keys, "low", F.explode(triples).alias("anchor"))
+        spread = exploded(worded, triples, "anchor").select(*keys, "low", "anchor")
         found = spread.join(F.broadcast(checked), "anchor").where(F.contains("low", F.col("needle")))
         return found.select(*keys, "needle_id")
     pairs = (
-        worded.select(*keys, F.explode(triples).alias("anchor"))
+        exploded(worded, triples, "anchor")
+        .select(*keys, "anchor")
         .join(checked.select("anchor", "needle_id"), "anchor")
         .select(*keys, "needle_id")
         .distinct()

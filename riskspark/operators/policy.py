@@ -307,7 +307,7 @@ def trust_override(verdicts: DataFrame, matches: DataFrame, key: str = "command_
 
 def uncovered_rules(catalogue: DataFrame, matrix: DataFrame) -> DataFrame:
     """U5. Catalogue rules without a policy row; must be empty."""
-    return catalogue.select("rule_id").exceptAll(matrix.select("rule_id")).distinct()
+    return catalogue.select("rule_id").subtract(matrix.select("rule_id"))
 
 
 def default_matrix(spark: SparkSession) -> DataFrame:

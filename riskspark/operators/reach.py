@@ -9,8 +9,10 @@ from riskspark.catalogue import rules as R
 from riskspark.catalogue.files import COMPOSE_NAMES
 from riskspark.functions.paths import basename, collapse_dots, dirname, strip_quotes, suffix
 from riskspark.functions.regex import jre
+from riskspark.functions.rows import numbered
 from riskspark.functions.targets import LINE_INTERPRETERS, SHELL_EXTENSIONS, local_reference
 from riskspark.functions.text import line_number, split_lines, truncate_evidence
+from riskspark.operators.scan import explode_hits, with_lowered
 
 FILE = ["repo_id", "snapshot_id", "path"]
 REF = "struct<kind:string,target:string,reason:string>"
@@ -60,14 +62,8 @@ def scan_capabilities(files: DataFrame, sets=("node", "python", "shell", "docker
                     )
                 )
             number += 1
-    hits = (
-        files.where(F.col("text").isNotNull())
-        .withColumn("cap_set", capability_set(F.col("path")))
-        .withColumn("lowered", F.lower("text"))
-        .select(*keys, F.explode(F.array(*entries)).alias("hit"))
-        .where("hit IS NOT NULL")
-        .select(*keys, "hit.*")
-    )
+    prepared = with_lowered(files).withColumn("cap_set", capability_set(F.col("path")))
+    hits = explode_hits(prepared, keys, F.array(*entries))
     dim = _capability_rows(files.sparkSession, sets)
     return (
         hits.join(F.broadcast(dim), "cap_no")
@@ -159,8 +155,7 @@ def extract_refs(files: DataFrame) -> DataFrame:
     node = F.when(F.lower(suffix(path)).isin(*R.NODE_MODULE_EXTENSIONS), node_refs(text)).otherwise(none)
     compose = F.when(basename(path).isin(*COMPOSE_NAMES), compose_refs(text)).otherwise(none)
     return (
-        files.where(text.isNotNull())
-        .select(*FILE, F.posexplode(F.concat(node, shell_refs(text), compose)).alias("ref_ord", "r"))
+        numbered(files.where(text.isNotNull()), F.concat(node, shell_refs(text), compose), "ref_ord", "r")
         .select(*FILE, "ref_ord", "r.*")
     )
 
@@ -177,8 +172,7 @@ def package_scripts(files: DataFrame) -> DataFrame:
     """G6. Scripts of every package.json in document order, with whether they start a local file."""
     scripts = F.map_entries(F.from_json("text", "scripts MAP<STRING,VARIANT>").getField("scripts"))
     return (
-        files.where((basename(F.col("path")) == "package.json") & F.col("text").isNotNull())
-        .select(*FILE, F.posexplode(scripts).alias("script_ord", "s"))
+        numbered(files.where(basename(F.col("path")) == "package.json"), scripts, "script_ord", "s")
         .where(F.schema_of_variant("s.value") == "STRING")
         .select(*FILE, "script_ord", F.col("s.key").alias("name"), F.col("s.value").cast("string").alias("command"))
         .withColumn("indirect", local_reference(F.col("command")).isNotNull())
@@ -226,9 +220,7 @@ def resolve(refs: DataFrame, index: DataFrame) -> DataFrame:
         .when(F.col("fallback_dir").isNotNull(), F.array(at(base, target), at(F.col("fallback_dir"), target)))
         .otherwise(F.array(at(base, target)))
     )
-    spread = refs.select(
-        *refs.columns, F.posexplode(F.transform(candidates, collapse_dots)).alias("candidate_no", "candidate")
-    )
+    spread = numbered(refs, F.transform(candidates, collapse_dots), "candidate_no", "candidate")
     known = index.select(
         "repo_id", "snapshot_id", F.col("path").alias("candidate"), F.col("is_link"), F.lit(True).alias("exists")
     )

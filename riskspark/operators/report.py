@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.catalogue import rules as R
+from riskspark.functions.rows import exploded
 from riskspark.operators.policy import ORDER, severity_rank
 
 SCHEMA_VERSION = "1.0"
@@ -325,7 +326,7 @@ def diff_scalars(baseline: DataFrame, candidate: DataFrame, key: str, fields: li
             for f in fields
         ]
     )
-    return pairs.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    return exploded(pairs, rows, "r").select(key, "r.*")
 
 
 def diff_changed(diffs: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from riskspark.catalogue import rules as R
 from riskspark.catalogue.files import COMPOSE_NAMES
 from riskspark.functions.paths import basename, strip, suffix
 from riskspark.functions.regex import jre
+from riskspark.functions.rows import exploded
 from riskspark.functions.text import (
     line_number,
     mask_gradle,
@@ -647,8 +648,9 @@ def with_lowered(files: DataFrame) -> DataFrame:
     return files.where(F.col("text").isNotNull()).withColumn("lowered", F.lower("text"))
 
 
-def _exploded(files: DataFrame, array: Column) -> DataFrame:
-    return files.select(*KEYS, F.explode(array).alias("hit")).where("hit IS NOT NULL").select(*KEYS, "hit.*")
+def explode_hits(files: DataFrame, keys: list[str], array: Column) -> DataFrame:
+    """One row per hit."""
+    return exploded(files, array, "hit").select(*keys, "hit.*")
 
 
 def describe(raw: DataFrame) -> DataFrame:
@@ -671,7 +673,7 @@ def describe(raw: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, families=ALL) -> DataFrame:
-    return describe(_exploded(with_lowered(files), hits(families)))
+    return describe(explode_hits(with_lowered(files), KEYS, hits(families)))
 
 
 def scan_literals(files: DataFrame) -> DataFrame:
@@ -747,12 +749,7 @@ def scan_secrets(files: DataFrame) -> DataFrame:
 def scan_command_aware(selected: DataFrame) -> DataFrame:
     """X3. Java rules for files a command selects; ``selected`` adds plan_id and role to files."""
     array = F.concat(*_java(_File(), F.col("role")))
-    raw = (
-        with_lowered(selected)
-        .select("plan_id", *KEYS, F.explode(array).alias("hit"))
-        .where("hit IS NOT NULL")
-        .select("plan_id", *KEYS, "hit.*")
-    )
+    raw = explode_hits(with_lowered(selected), ["plan_id", *KEYS], array)
     dim = R.file_rule_dim(raw.sparkSession)
     return raw.join(F.broadcast(dim), raw.no == dim.rule_no).select(
         "plan_id", "rule_ord", F.col("ord").alias("match_ord"), "rule_id", "severity", "title",
@@ -803,12 +800,8 @@ def scan_user_rules(files: DataFrame, catalogue: DataFrame) -> DataFrame:
                 ),
             )
         )
-    return (
-        with_lowered(files)
-        .select("repo_id", "snapshot_id", F.col("path").alias("file"), F.explode(F.array(*entries)).alias("hit"))
-        .where("hit IS NOT NULL")
-        .select("repo_id", "snapshot_id", "file", F.lit(0).alias("match_ord"), "hit.*")
-    )
+    found = explode_hits(with_lowered(files), KEYS, F.array(*entries))
+    return found.withColumnRenamed("path", "file").withColumn("match_ord", F.lit(0))
 
 
 def evidence_labels(findings: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark import schemas
+from riskspark.functions.rows import numbered
 
 # Fixed value: a log rotates before a segment exceeds this size.
 MAX_SEGMENT_BYTES = 1024 * 1024
@@ -23,9 +24,7 @@ def read_audit(spark: SparkSession, path: str, streaming: bool = False) -> DataF
         F.col("_metadata.file_name").alias("segment"),
         "value",
     )
-    lines = segments.select("log", "segment", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(
-        F.length("line") > 0
-    )
+    lines = numbered(segments, F.split("value", "\n"), "line_no", "line").where(F.length("line") > 0)
     event = F.from_json("line", schemas.AUDIT_EVENT)
     return lines.withColumn("e", event).select(
         "log", "segment", (F.col("line_no") + 1).alias("line_no"), F.col("e.event_id").isNull().alias("malformed"), "e.*"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark import schemas
 from riskspark.catalogue.files import MAX_TEXT_BYTES
+from riskspark.functions.rows import exploded
 
 
 def read_repo_files(
@@ -47,7 +48,7 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     nested = ",".join(f"{n}:string" for n in names)
     raw = spark.read.schema(f"{schemas.BATCH_ENTRY}, repos array<struct<{nested}>>").option("multiLine", True).json(path)
     entries = F.coalesce("repos", F.array(F.struct(*names)))
-    return raw.select(F.explode(entries).alias("e")).select("e.*").where("name IS NOT NULL")
+    return exploded(raw, entries, "e").select("e.*").where("name IS NOT NULL")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
             "spark.driver.host": "127.0.0.1",
             "spark.sql.streaming.stateStore.providerClass":
