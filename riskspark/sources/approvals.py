@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.timefmt import parse_ts
 from riskspark.functions.validate import bounded_field, is_commit, is_fingerprint, is_uuid4
+from riskspark.session import cut
 
 # Fixed values.
 APPROVAL_FIELDS = (
@@ -51,11 +52,20 @@ def _null_or(value: Column, path: str, ok: Column) -> Column:
     return F.coalesce(kind == "VOID", F.lit(False)) | ok
 
 
-def check_approval(text: Column) -> Column:
-    """Error code of one stored entry: corrupt, unsupported-schema or null."""
-    v = F.try_parse_json(text)
-    keys = F.json_object_keys(text)
-    provenance_keys = F.json_object_keys(F.get_json_object(text, "$.provenance"))
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Parse each entry once; the checks read the parsed columns."""
+    return lines.withColumns(
+        {
+            "_v": F.try_parse_json("value"),
+            "_keys": F.json_object_keys("value"),
+            "_provenance": F.json_object_keys(F.get_json_object("value", "$.provenance")),
+        }
+    )
+
+
+def check_approval() -> Column:
+    """Error code of one parsed entry: corrupt, unsupported-schema or null."""
+    v, keys, provenance_keys = F.col("_v"), F.col("_keys"), F.col("_provenance")
     full = APPROVAL_FIELDS + METADATA_FIELDS
     legacy, migrated = _same(keys, APPROVAL_FIELDS), _same(keys, full)
     version = F.try_variant_get(v, "$.entryVersion", "variant")
@@ -118,18 +128,21 @@ def parse_approvals(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     partial count per identifier, not by gathering entries. ``store_ord`` is the order entries
     were approved in, which is the order an append-only store holds them.
     """
-    v = F.try_parse_json("value")
-    checked = lines.withColumn("error_code", check_approval(F.col("value"))).withColumn("entry_id", _text(v, "$.entryId"))
+    v = F.col("_v")
+    # Stored before any filter: a filter would repeat the whole check for every pushed condition.
+    checked = cut(
+        _parsed(lines).select(*lines.columns, check_approval().alias("error_code"), _text(v, "$.entryId").alias("entry_id"))
+    )
     repeated = (
         checked.where("error_code IS NULL AND entry_id IS NOT NULL").groupBy("entry_id").agg(F.count("*").alias("n")).where("n > 1")
     )
     marked = checked.join(repeated.select("entry_id", F.lit("corrupt").alias("repeat")), "entry_id", "left").withColumn(
         "error_code", F.coalesce("error_code", "repeat")
     )
-    good = marked.where("error_code IS NULL")
+    good = marked.where("error_code IS NULL").withColumn("_v", F.try_parse_json("value"))
     p = "$.provenance."
     typed = good.select(
-        "entry_id",
+        F.col("entry_id"),
         F.try_variant_get(v, "$.entryVersion", "int").alias("entry_version"),
         _text(v, "$.repoId").alias("repo_id"),
         _text(v, "$.path").alias("path"),
@@ -175,7 +188,7 @@ def migrate_approvals(approvals: DataFrame, now: Column) -> DataFrame:
         "repo_id", "path", "remote_url", "head_commit", "critical_fingerprint", "command_scope", "approved_command",
         "approved_at", "expires_at", "policy_version", "ruleset_version",
     ]
-    digest = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    digest = F.col("_digest")
     variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1)
     made = F.concat_ws(
         "-",
@@ -186,6 +199,7 @@ def migrate_approvals(approvals: DataFrame, now: Column) -> DataFrame:
         F.substring(digest, 21, 12),
     )
     legacy = F.col("entry_id").isNull()
+    approvals = approvals.withColumn("_digest", F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})))
     none = F.lit(None)
     provenance = F.struct(
         F.lit(SCHEMA).alias("schema"),
@@ -202,4 +216,4 @@ def migrate_approvals(approvals: DataFrame, now: Column) -> DataFrame:
             "entry_version": F.when(legacy, F.lit(ENTRY_VERSION)).otherwise(F.col("entry_version")),
             "provenance": F.when(legacy, provenance).otherwise(F.col("provenance")),
         }
-    )
+    ).drop("_digest")

@@ -2,39 +2,89 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark import schemas
 from riskspark.catalogue.files import MAX_TEXT_BYTES
 from riskspark.functions.rows import exploded
+from riskspark.session import cut
+
+
+_LISTED = "path string, is_dir boolean, is_link boolean, size_bytes bigint"
+_BATCH_BYTES = 16 * 1024 * 1024
+
+
+def _list_dirs(root: str):
+    """Entries directly below each directory of a batch."""
+
+    def listing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for folder in frame["path"]:
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for entry in entries:
+                        link = entry.is_symlink()
+                        is_dir = not link and entry.is_dir(follow_symlinks=False)
+                        size = 0 if is_dir else entry.stat(follow_symlinks=False).st_size
+                        rows.append((f"{folder}/{entry.name}" if folder else entry.name, is_dir, link, size))
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "is_link", "size_bytes"])
+
+    return listing
+
+
+def _load(root: str, max_bytes: int):
+    """Content of each file of a batch, in batches of bounded size."""
+
+    def loading(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, held = [], 0
+            for path, link, size in frame[["path", "is_link", "size_bytes"]].itertuples(index=False):
+                content = None
+                if not link and size <= max_bytes:
+                    with open(os.path.join(root, path), "rb") as handle:
+                        content = handle.read(max_bytes + 1)
+                repo, _, inner = path.partition("/")
+                rows.append((repo, inner, "120000" if link else "100644", size, content))
+                held += size if content is not None else 0
+                if held > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["repo_id", "path", "mode", "size_bytes", "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "mode", "size_bytes", "content"])
+
+    return loading
 
 
 def read_repo_files(
-    spark: SparkSession, root: str, snapshot_id: str = "current", name_glob: str | None = None
+    spark: SparkSession, root: str, snapshot_id: str = "current", max_bytes: int = MAX_TEXT_BYTES
 ) -> DataFrame:
-    """S1. Every regular file below ``<root>/<repo_id>/``, one row each.
+    """S1. Every file below ``<root>/<repo_id>/`` of a mounted file system, one row each.
 
-    The size filter reaches the source, so the bytes of oversized files are never loaded; such
-    files keep a row without content. ``name_glob`` prunes by name before anything is opened.
+    Spark's file sources leave out names that start with a dot, and those are often the critical
+    ones here. Directories are therefore listed by tasks, one level at a time, and spread again
+    before each level, so neither the driver nor one task walks a large repository alone. Links
+    and oversized files keep a row without content.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    found = reader.load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    below = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "/")
-    relative = F.substring(below, F.position(F.lit(base), below) + len(base) + 1, F.length(below))
-    rows = (
-        F.regexp_extract(relative, "^([^/]+)/", 1).alias("repo_id"),
-        F.lit(snapshot_id).alias("snapshot_id"),
-        F.regexp_extract(relative, "^[^/]+/(.*)$", 1).alias("path"),
-        F.lit("100644").alias("mode"),
-        F.col("length").alias("size_bytes"),
+    root = root.removeprefix("file://").rstrip("/")
+    frontier = spark.createDataFrame([("",)], "path string")
+    found = []
+    while True:
+        listed = cut(frontier.mapInPandas(_list_dirs(root), _LISTED))
+        folders = listed.where("is_dir").select("path")
+        found.append(listed.where("NOT is_dir"))
+        if folders.isEmpty():
+            break
+        frontier = folders.repartition(F.xxhash64("path"))
+    files = reduce(DataFrame.unionByName, found).where(F.contains("path", F.lit("/")))
+    loaded = files.repartition(F.xxhash64("path")).mapInPandas(
+        _load(root, max_bytes), "repo_id string, path string, mode string, size_bytes bigint, content binary"
     )
-    small = found.where(F.col("length") <= MAX_TEXT_BYTES).select(*rows, "content")
-    large = found.where(F.col("length") > MAX_TEXT_BYTES).select(*rows, F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).where("repo_id <> ''")
+    return loaded.select("repo_id", F.lit(snapshot_id).alias("snapshot_id"), "path", "mode", "size_bytes", "content")
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

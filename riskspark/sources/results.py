@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskspark.schemas import RESULT_KEY
 from riskspark.session import cut
 
-BUCKETS = 256
+BUCKETS = 64
 REUSABLE = ("ALLOW", "WARN")
 # Life and size of a remote result store.
 TTL_SECONDS = 3600

@@ -13,10 +13,12 @@ from riskspark.sources import repo as RS
 from workload.q_policy import FAMILIES, plans, repo_findings, verdicts
 from workload.registry import Tables, define, query
 
-# Two reports per user: what a user's events were before and after the middle of the month.
-MIDDLE = "2024-01-15 00:00:00"
-define("before_items", f"SELECT user_id, event_type, floor(arg_max(value, ts) / 10) AS level FROM events WHERE ts < TIMESTAMP '{MIDDLE}' GROUP BY ALL")
-define("after_items", f"SELECT user_id, event_type, floor(arg_max(value, ts) / 10) AS level FROM events WHERE ts >= TIMESTAMP '{MIDDLE}' GROUP BY ALL")
+# Two reports per user: what a user's events were in the first and in the second week.
+WEEKS = ("2024-01-01 00:00:00", "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+for _name, _from, _to in (("before_items", *WEEKS[:2]), ("after_items", *WEEKS[1:])):
+    define(_name, f"""
+      SELECT user_id, event_type, floor(arg_max(value, ts) / 10) AS level FROM events
+      WHERE ts >= TIMESTAMP '{_from}' AND ts < TIMESTAMP '{_to}' GROUP BY ALL""")
 define("item_diff", """
   SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.event_type, a.event_type) AS event_type,
          CASE WHEN b.user_id IS NULL THEN 'added' WHEN a.user_id IS NULL THEN 'removed' WHEN a.level = b.level THEN 'unchanged' ELSE 'changed' END AS change,
@@ -25,10 +27,8 @@ define("item_diff", """
 
 
 def _items(t: Tables, after: bool):
-    rows = t.given("events")
-    middle = F.lit(MIDDLE).cast("timestamp_ntz")
-    rows = rows.where(F.col("ts") >= middle) if after else rows.where(F.col("ts") < middle)
-    return rows.select(
+    begin, end = (F.lit(day).cast("timestamp_ntz") for day in (WEEKS[1:] if after else WEEKS[:2]))
+    return t.given("events").where((F.col("ts") >= begin) & (F.col("ts") < end)).select(
         "user_id", "event_type", F.col("ts").alias("pos"), F.floor(F.col("value") / 10).cast("bigint").alias("level")
     )
 
@@ -49,9 +49,6 @@ def a20(t: Tables):
     return RP.diff_changed(_diff(t), "user_id")
 
 
-_KEYS = "SELECT DISTINCT user_id, event_type FROM {}"
-
-
 @query("u3_added_keys", "SELECT user_id, event_type FROM item_diff WHERE change = 'added'")
 def u3(t: Tables):
     return RP.added_keys(*[_items(t, after).select("user_id", "event_type") for after in (False, True)])

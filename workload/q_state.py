@@ -14,7 +14,7 @@ from riskspark.functions.hashing import canonical_json
 from riskspark.operators import approvals as AP
 from riskspark.operators import audit as AU
 from riskspark.operators import files as FS
-from riskspark.session import scratch_path
+from riskspark.session import cut, scratch_path
 from riskspark.sources import approvals as SA
 from riskspark.sources import audit as SAU
 from riskspark.sources import repo as RS
@@ -177,7 +177,7 @@ def s10(t: Tables):
     from riskspark.functions.validate import is_uuid4
 
     good, _bad = SA.parse_approvals(_entry(t).select("value"))
-    once = SA.migrate_approvals(good, now())
+    once = cut(SA.migrate_approvals(cut(good), now()))
     twice = SA.migrate_approvals(once.withColumn("first_id", F.col("entry_id")), now())
     return twice.groupBy("repo_id").agg(
         F.bool_and(is_uuid4(F.col("entry_id"))).alias("all_uuid4"),
