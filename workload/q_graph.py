@@ -198,10 +198,10 @@ def j10(t: Tables):
     return good.unionByName(bad).select("repo_id", "path", "target", "resolved", "status")
 
 
-@query("j11_resolve_python_modules", f"""
-  SELECT f.doc_id, 'tools.run' AS target, CASE WHEN g.path IS NOT NULL THEN g.path END AS resolved FROM files f
-  LEFT JOIN files g ON g.repo_id = f.repo_id AND g.path = 'tools/run.py' WHERE {NAME} = 'README.md'
-  UNION ALL SELECT doc_id, 'lib.gone', NULL FROM files WHERE {NAME} = 'README.md'""")
+@query("j11_resolve_python_modules", """
+  SELECT f.doc_id, 'tools.run' AS target, g.path AS resolved FROM files f
+  LEFT JOIN files g ON g.repo_id = f.repo_id AND g.path = 'tools/run.py' WHERE f.path = 'README.md'
+  UNION ALL SELECT doc_id, 'lib.gone', NULL FROM files WHERE path = 'README.md'""")
 def j11(t: Tables):
     refs = t.files.where("path = 'README.md'").select(
         *SNAP, "doc_id", F.lit("module").alias("kind"), F.explode(F.array(F.lit("tools.run"), F.lit("lib.gone"))).alias("target"),
@@ -305,12 +305,20 @@ def g10(t: Tables):
     )
 
 
-@query("j14_edge_labels", "SELECT 'n.0' AS to_id, 'none' AS label, 0 AS n FROM events LIMIT 0")
+@query("j14_edge_labels", """
+  SELECT n.n_regionkey AS plan_id, c.c_custkey AS from_id, c.c_nationkey AS to_id, n.n_name AS label FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
+  UNION ALL SELECT -1, s_suppkey, s_nationkey, NULL FROM supplier""")
 def j14(t: Tables):
-    """Edges whose target has no label; there must be none."""
-    graph = analysis(t).graph
-    labelled = G.edge_labels(graph.edges, graph.nodes)
-    return labelled.where("label IS NULL").groupBy("to_id", "label").agg(F.count("*").cast("int").alias("n"))
+    """Customers as edges to labelled nations, suppliers as edges of a plan without nodes."""
+    nodes = t.given("nation").select(
+        F.col("n_regionkey").alias("plan_id"), F.col("n_nationkey").alias("node_id"), F.col("n_name").alias("label")
+    )
+    edges = t.given("customer").join(nodes, F.col("c_nationkey") == F.col("node_id")).select(
+        "plan_id", F.col("c_custkey").alias("from_id"), F.col("c_nationkey").alias("to_id")
+    ).unionByName(
+        t.given("supplier").select(F.lit(-1).alias("plan_id"), F.col("s_suppkey").alias("from_id"), F.col("s_nationkey").alias("to_id"))
+    )
+    return G.edge_labels(edges, nodes).select("plan_id", "from_id", "to_id", "label")
 
 
 @query("x3_command_aware", """
