@@ -168,7 +168,7 @@ def expand_levels(
         kept = cut(marked.where("admitted").drop("admitted"))
         doubts.append(_status_doubts(kept))
         if over is not None:
-            doubts.append(cut(over))
+            doubts.append(over)
         nodes = kept.where("status = 'file'")
         first = nodes.groupBy("plan_id", *SNAP, F.col("resolved").alias("path")).agg(F.min("ord").alias("ord"))
         if visited is not None:
@@ -178,7 +178,7 @@ def expand_levels(
         visited = first.select("plan_id", "path") if visited is None else visited.unionByName(
             first.select("plan_id", "path")
         )
-        used = cut(
+        used = (
             used.unionByName(nodes.groupBy("plan_id").agg(F.count("*").alias("used")))
             .groupBy("plan_id")
             .agg(F.sum("used").alias("used"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -638,10 +639,19 @@ _BUILDERS = {
 ALL = tuple(_BUILDERS)
 
 
+_COMPILED: dict[tuple, Column] = {}
+
+
 def hits(families=ALL) -> Column:
-    """Array of findings of the current row; needs columns path, text and lowered."""
-    f = _File()
-    return F.concat(*[part for family in families for part in _BUILDERS[family](f)])
+    """Array of findings of the current row; needs columns path, text and lowered.
+
+    The expression refers to columns by name only, so it is built once per application.
+    """
+    key = (SparkContext._active_spark_context.applicationId, tuple(families))
+    if key not in _COMPILED:
+        f = _File()
+        _COMPILED[key] = F.concat(*[part for family in families for part in _BUILDERS[family](f)])
+    return _COMPILED[key]
 
 
 def with_lowered(files: DataFrame) -> DataFrame:
