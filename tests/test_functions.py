@@ -60,7 +60,7 @@ def test_segments(spark):
 def test_long_commands_do_not_overflow(spark):
     command = "echo " + "x 'y' " * 20000 + "; ls"
     assert len(apply(spark, [command], split_segments)[0]) == 2
-    assert len(apply(spark, [command], split_words)[0]) == 40001 + 1
+    assert len(apply(spark, [command], split_words)[0]) == 1 + 40000 + 2
 
 
 def test_words(spark):
