@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.hashing import canonical_json, hmac_sha256, keyed_hash
@@ -73,13 +73,11 @@ def page_approvals(public: DataFrame, after=None, limit: int = DEFAULT_PAGE) ->
         last = F.struct(*[F.lit(after[f.name]).cast(f.dataType).alias(f.name) for f in types])
         public = public.where(here > last)
     page = public.orderBy(*LISTING_ORDER).limit(limit + 1)
-    total = page.agg(F.count("*").alias("n"))
+    whole = Window.partitionBy()  # at most limit + 1 rows
     return (
-        page.orderBy(*LISTING_ORDER)
+        page.withColumn("complete", F.count("*").over(whole) <= limit)
+        .orderBy(*LISTING_ORDER)
         .limit(limit)
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("complete", F.col("n") <= limit)
-        .drop("n")
     )
 
 

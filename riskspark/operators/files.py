@@ -13,9 +13,10 @@ from riskspark.functions import validate as V
 from riskspark.functions.hashing import content_digest
 from riskspark.functions.rows import exploded
 from riskspark.functions.paths import basename, collision_key, dirname, suffix
-from riskspark.session import BROADCAST_ROW_LIMIT
 
 SNAPSHOT = ["repo_id", "snapshot_id"]
+# A file is compared with every marked directory of its snapshot, so only a handful is broadcast.
+MARKER_LIMIT = 1000
 
 
 def _any(conditions) -> Column:
@@ -54,16 +55,16 @@ def exclude_skipped_dirs(files: DataFrame, dirs=C.SKIP_DIRS) -> DataFrame:
 def exclude_marked_dirs(files: DataFrame, marker: str = C.FIXTURE_MARKER) -> DataFrame:
     """P3. Drop subtrees whose directory holds ``marker``; one at the root does not count.
 
-    Marker directories are few. While their number is proven small they are broadcast and matched
-    by prefix inside their snapshot; beyond that the excluded paths are found by an equality join
-    over (snapshot, ancestor directory) that carries no content.
+    Marker directories are few. While there are at most ``MARKER_LIMIT`` they are broadcast and
+    matched by prefix inside their snapshot; beyond that the excluded paths are found by an equality
+    join over (snapshot, ancestor directory) that carries no content.
     """
     marked = (
         files.where((basename(F.col("path")) == marker) & (dirname(F.col("path")) != ""))
         .select(*SNAPSHOT, dirname(F.col("path")).alias("marked_dir"))
         .distinct()
     )
-    few = marked.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
+    few = marked.limit(MARKER_LIMIT + 1).count() <= MARKER_LIMIT
     if few:
         inside = F.col("f.path").startswith(F.concat(F.col("m.marked_dir"), F.lit("/")))
         same = [F.col(f"f.{k}").eqNullSafe(F.col(f"m.{k}")) for k in SNAPSHOT]

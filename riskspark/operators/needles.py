@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.rows import exploded
-from riskspark.session import BROADCAST_ROW_LIMIT
+from riskspark.session import BROADCAST_ROW_LIMIT, fits_broadcast
 
 ANCHOR_WORDS = 3
 _WORD = r"(?U)[\p{L}\p{N}_]+"
@@ -49,7 +49,7 @@ def scan_needles(files: DataFrame, needles: DataFrame) -> DataFrame:
     keys = ["repo_id", "snapshot_id", "path"]
     text = files.where(F.col("text").isNotNull()).withColumn("low", F.lower("text"))
     worded = text.withColumn("words", _words(F.col("low")))
-    if checked.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+    if fits_broadcast(checked, BROADCAST_ROW_LIMIT):
         spread = exploded(worded, triples, "anchor").select(*keys, "low", "anchor")
         found = spread.join(F.broadcast(checked), "anchor").where(F.contains("low", F.col("needle")))
         return found.select(*keys, "needle_id")

@@ -31,11 +31,6 @@ class Preflight:
     graph: G.Graph
     matrix: DataFrame
 
-    def findings(self) -> DataFrame:
-        """All findings of each plan, in report order. One row per plan and finding."""
-        shared = self.plans.select("plan_id", *SNAP).join(self.repo_findings, SNAP).drop(*SNAP)
-        return self.plan_findings.unionByName(shared)
-
     def capped_findings(self) -> tuple[DataFrame, DataFrame]:
         """Report findings (with ``position``) and totals per plan.
 

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Most rows a side may have before it is no longer broadcast by hint; beyond it the join shuffles.
+# Most rows and bytes a side may have to be broadcast by hint; beyond either the join shuffles.
 BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
 
 
 def build_session(app: str = "riskspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,11 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays within ``limit`` rows.
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """Measure rows and bytes of ``df``; at most ``limit + 1`` rows are looked at."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    found = df.limit(limit + 1).agg(F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return found.rows <= limit and found.bytes <= max_bytes
 
-    The count reads at most ``limit + 1`` rows; a larger side is returned unhinted, so the join
-    shuffles it (with adaptive skew handling) instead.
-    """
-    rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Hint a broadcast only for a side measured to be small; a larger side stays unhinted, so the
+    join shuffles it (with adaptive skew handling) instead."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

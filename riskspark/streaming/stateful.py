@@ -1,4 +1,8 @@
-"""Stateful streams (T8, T10). State per key is bounded by the limits it enforces."""
+"""Stateful streams.
+
+State per key is bounded by the limits it enforces. The events of a key are handled in time order
+within a micro-batch, whose size the source bounds (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
+"""
 
 from __future__ import annotations
 

@@ -78,7 +78,7 @@ def test_marked_dirs_shuffle_path(spark, monkeypatch):
 
     files = Tables(spark, FOLDER).files.select("repo_id", "snapshot_id", "path")
     small = {tuple(r) for r in FS.exclude_marked_dirs(files).collect()}
-    monkeypatch.setattr(FS, "BROADCAST_ROW_LIMIT", 0)
+    monkeypatch.setattr(FS, "MARKER_LIMIT", 0)
     assert {tuple(r) for r in FS.exclude_marked_dirs(files).collect()} == small
 
 

@@ -203,9 +203,9 @@ def s3(t: Tables):
 
 @query("s4_read_batch", f"SELECT name, expected FROM ({_BATCH})")
 def s4(t: Tables):
-    """Half of the files hold an object with ``repos``, half a bare list."""
+    """Files of 200 entries each: half hold an object with ``repos``, half a bare list."""
     path = scratch_path(t.spark, "batch")
-    rows = t.sql(_BATCH).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(16)))
+    rows = t.sql(_BATCH).withColumn("part", F.floor(F.col("name").cast("bigint") / 200))
     entry = F.to_json(F.struct("name", "expected"))
     grouped = rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("list"))
     text = F.when(F.col("part") % 2 == 0, F.col("list")).otherwise(F.concat(F.lit('{"repos":'), "list", F.lit("}")))

@@ -66,14 +66,10 @@ def u2(t: Tables):
 
 
 @query("a10_fingerprint", """
-  SELECT source AS repo_id, lang AS snapshot_id, 'sha256:' || sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint,
-         NULL AS error_code FROM documents GROUP BY source, lang""")
+  SELECT repo_id, snapshot_id, 'sha256:' || sha256(string_agg(path || ':' || sha256(text), chr(10) ORDER BY path)) AS fingerprint,
+         NULL AS error_code FROM files GROUP BY repo_id, snapshot_id""")
 def a10(t: Tables):
-    rows = t.given("documents").select(
-        F.col("source").alias("repo_id"), F.col("lang").alias("snapshot_id"), F.col("doc_id").cast("string").alias("path"),
-        F.encode("text", "UTF-8").alias("content"),
-    )
-    return FS.fingerprint(rows, max_files=None)
+    return FS.fingerprint(t.raw_files)
 
 
 @query("a10_fingerprint_limit", """
@@ -315,13 +311,10 @@ def j16(t: Tables):
 
 
 def _segments(t: Tables):
-    """Audit logs written as JSON-lines segments: one log per scope of users, one segment per hour.
-
-    The MAC chain is built from a keyed hash per event, so links can be checked without replaying.
-    """
+    """Audit logs as JSON-lines segments: one log per 50 users, one segment per day."""
     rows = t.audit.select(
-        F.concat(F.lit("log-"), (F.col("user_id") % 4).cast("string")).alias("log"),
-        F.date_format("ts", "yyyyMMddHH").alias("segment"), F.col("event_id"), "ts", "event", "outcome", "error_code",
+        F.concat(F.lit("log-"), F.floor(F.col("user_id") / 50).cast("string")).alias("log"),
+        F.date_format("ts", "yyyyMMdd").alias("segment"), F.col("event_id"), "ts", "event", "outcome", "error_code",
         "operation_id", "challenge_id",
     )
     return rows.withColumn("line", F.to_json(F.struct(
