@@ -158,13 +158,12 @@ def assemble_report(
     ).unionByName(extra)
 
     rule, file = F.col("rule_id"), F.col("file")
-    cols = [F.col(c) for c in ()]
     finding_docs = _gathered(
         findings, key, "findings",
         [
             rule.alias("ruleId"), F.col("severity"), F.col("title"), file, F.col("line"), F.col("evidence"),
             F.col("why_it_matters").alias("whyItMatters"), F.col("recommendation"),
-            *_labels(rule, file, F.col("title")), *cols,
+            *_labels(rule, file, F.col("title")),
         ],
     )
     node_docs = _gathered(
@@ -216,7 +215,7 @@ def assemble_report(
         ).alias(name)
 
     def listed(name: str) -> Column:
-        return F.coalesce(F.col(name), F.slice(F.col(name), 1, 0), F.array().cast(joined.schema[name].dataType)).alias(name)
+        return F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType)).alias(name)
 
     def optional(name: str) -> Column:
         return (F.col(name) if name in verdicts.columns else F.lit(None)).cast("string")
@@ -279,35 +278,31 @@ def assemble_report(
 # ---- comparison -----------------------------------------------------------------------------
 
 
-def _indexed(items: DataFrame, identity: list[str]) -> DataFrame:
-    """Last item of each identity, by ``pos`` where given."""
-    payload = [c for c in items.columns if c not in (*identity, "pos")]
-    order = F.col("pos") if "pos" in items.columns else F.lit(0)
-    return items.groupBy(*identity).agg(F.max_by(F.struct(*payload), order).alias("item"))
-
-
 def diff_reports(baseline: DataFrame, candidate: DataFrame, identity: list[str]) -> DataFrame:
     """J5. Items added, removed, changed or unchanged, with both payloads.
 
-    ``identity`` includes the key of the report pair; a repeated identity keeps its last item.
+    ``identity`` includes the key of the report pair; a repeated identity keeps its last item by
+    ``pos``. Both sides meet in one partial aggregation instead of two and an outer join, so there
+    is a single shuffle and a null in an identity is a value like any other.
     """
-    before = _indexed(baseline, identity).withColumnRenamed("item", "baseline")
-    after = _indexed(candidate, identity).withColumnRenamed("item", "candidate")
-    renamed = after.select(*[F.col(c).alias(f"_{c}") for c in identity], "candidate")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity])
-    joined = before.withColumn("_b", F.lit(True)).join(renamed.withColumn("_c", F.lit(True)), same, "full_outer")
+    payload = [c for c in baseline.columns if c not in (*identity, "pos")]
+
+    def side(frame: DataFrame, number: int) -> DataFrame:
+        place = F.col("pos") if "pos" in frame.columns else F.lit(0)
+        return frame.select(*identity, F.lit(number).alias("side"), F.struct(*payload).alias("item"), place.alias("pos"))
+
+    both = side(baseline, 0).unionByName(side(candidate, 1))
+    met = both.groupBy(*identity).agg(
+        *[F.max_by("item", F.when(F.col("side") == n, F.col("pos"))).alias(name) for n, name in ((0, "baseline"), (1, "candidate"))],
+        *[F.bool_or(F.col("side") == n).alias(name) for n, name in ((0, "_b"), (1, "_c"))],
+    )
     change = (
-        F.when(F.col("_b").isNull(), "added")
-        .when(F.col("_c").isNull(), "removed")
+        F.when(~F.col("_b"), "added")
+        .when(~F.col("_c"), "removed")
         .when(F.col("baseline").eqNullSafe(F.col("candidate")), "unchanged")
         .otherwise("changed")
     )
-    return joined.select(
-        *[F.when(F.col("_b").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in identity],
-        change.alias("change"),
-        "baseline",
-        "candidate",
-    )
+    return met.select(*identity, change.alias("change"), "baseline", "candidate")
 
 
 def diff_scalars(baseline: DataFrame, candidate: DataFrame, key: str, fields: list[str]) -> DataFrame:

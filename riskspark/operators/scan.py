@@ -622,19 +622,19 @@ def _phrases(f: _File) -> list[Column]:
 
 
 _BUILDERS = {
-    "package_json": lambda f: _package_json(f),
-    "shell": lambda f: _shell(f),
-    "secrets": lambda f: _secrets(f),
-    "workflows": lambda f: _workflows(f),
-    "mcp": lambda f: _mcp(f),
-    "python_setup": lambda f: _python_setup(f),
-    "agent": lambda f: _agent(f),
-    "phrases": lambda f: _phrases(f),
-    "docker": lambda f: _docker(f),
-    "rust": lambda f: _rust(f),
-    "go": lambda f: _go(f),
-    "ruby": lambda f: _ruby(f),
-    "java": lambda f: _java(f),
+    "package_json": _package_json,
+    "shell": _shell,
+    "secrets": _secrets,
+    "workflows": _workflows,
+    "mcp": _mcp,
+    "python_setup": _python_setup,
+    "agent": _agent,
+    "phrases": _phrases,
+    "docker": _docker,
+    "rust": _rust,
+    "go": _go,
+    "ruby": _ruby,
+    "java": _java,
 }
 ALL = tuple(_BUILDERS)
 
