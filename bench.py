@@ -17,7 +17,7 @@ HEADLINE = (
     "scan_all_rules", "r1_scan_literals", "r4_scan_regex", "r13_extract_links", "r14_classify_links", "r16_scan_secrets",
     "x2_scan_needles", "f18_classify_scope", "r17_scan_commands", "a5_evaluate_policy", "a6_explain_rules",
     "a10_fingerprint", "a13_snapshot_usage", "j3_match_approval", "j4_lookup_scan_result", "j5_diff_reports",
-    "j9_resolve_targets", "g1_reach_levels", "w2_cap_findings", "w6_verify_chain", "preflight_verdicts",
+    "j9_resolve_targets", "g1_reach_levels", "w2_cap_findings", "w6_verify_chain", "assess_verdicts",
     "a18_assemble_report",
 )
 

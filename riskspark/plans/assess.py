@@ -22,7 +22,7 @@ FINDING = ["rule_id", "severity", "title", "file", "line", "evidence", "why_it_m
 
 
 @dataclass
-class Preflight:
+class Assessment:
     plans: DataFrame  # distinct (snapshot, command) with scope
     repo_findings: DataFrame  # deduplicated findings of each snapshot
     plan_findings: DataFrame  # further findings of each plan
@@ -104,12 +104,12 @@ def _selected_findings(plans: DataFrame, text: DataFrame) -> tuple[DataFrame, Da
     return general, java
 
 
-def preflight(
+def assess(
     files: DataFrame,
     commands: DataFrame,
     origins: DataFrame | None = None,
     matrix: DataFrame | None = None,
-) -> Preflight:
+) -> Assessment:
     """Analyse every command against the snapshot it is planned in.
 
     Texts are read by map-side projections; what is shuffled is findings, references and paths.
@@ -148,10 +148,10 @@ def preflight(
     )
     contributed = cut(PO.contributions(profiles, plans, matrix, "plan_id"))
     verdicts = PO.evaluate_profile(plans, contributed, "plan_id")
-    return Preflight(plans, repo_findings.select(*SNAP, *PO.ORDER, *FINDING), plan_findings, contributed, verdicts, graph, matrix)
+    return Assessment(plans, repo_findings.select(*SNAP, *PO.ORDER, *FINDING), plan_findings, contributed, verdicts, graph, matrix)
 
 
-def approve(result: Preflight, identities: DataFrame, approvals: DataFrame, now: Column) -> DataFrame:
+def approve(result: Assessment, identities: DataFrame, approvals: DataFrame, now: Column) -> DataFrame:
     """Verdicts after approvals: ``identities`` gives commit and fingerprint per snapshot."""
     keyed = result.plans.join(identities, SNAP, "left").select(
         "plan_id", "repo_id", "head_commit", "critical_fingerprint", F.col("scope").alias("command_scope"),

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import corpus as CO
 from riskspark.operators import policy as PO
-from riskspark.plans.preflight import approve, preflight
+from riskspark.plans.assess import approve, assess
 
 
 @pytest.fixture(scope="module")
 def result(spark):
     files = spark.createDataFrame(K.file_rows(), K.FILE_SCHEMA)
     commands = spark.createDataFrame(K.command_rows(), K.COMMAND_SCHEMA)
-    return preflight(files, commands), commands
+    return assess(files, commands), commands
 
 
 def test_cases_match(spark, result):

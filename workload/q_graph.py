@@ -11,7 +11,7 @@ from riskspark.operators import commands as C
 from riskspark.operators import graph as G
 from riskspark.operators import reach as X
 from riskspark.operators import scan as S
-from riskspark.plans.preflight import preflight
+from riskspark.plans.assess import assess
 from workload.q_policy import per_command, plans
 from workload.q_rules import EXT, NAME, q
 from workload.registry import Tables, define, query
@@ -33,7 +33,7 @@ def facts(t: Tables):
 
 
 def analysis(t: Tables):
-    return kept(t, "analysis", lambda: preflight(t.files, t.commands, t.origins))
+    return kept(t, "analysis", lambda: assess(t.files, t.commands, t.origins))
 
 
 # ---- the level loop over the business tables ------------------------------------------------
@@ -332,7 +332,7 @@ def x3(t: Tables):
     )
 
 
-@query("preflight_verdicts")
+@query("assess_verdicts")
 def verdict_rows(t: Tables):
     return analysis(t).per_command(t.commands).select(
         "command_id", "repo_id", "command", "scope", "decision", "risk_score", "reason", "selector", "selected_rule"
