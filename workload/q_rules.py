@@ -16,7 +16,7 @@ from riskspark.operators import links as L
 from riskspark.operators import needles as N
 from riskspark.operators import policy as PO
 from riskspark.operators import scan as S
-from workload.registry import Tables, define, query
+from workload.registry import RAW, Tables, define, query
 
 FOUND = ["repo_id", "file", "rule_id", "severity", "line", "evidence"]
 
@@ -466,8 +466,16 @@ def u5(t: Tables):
     return PO.uncovered_rules(seen, PO.default_matrix(t.spark))
 
 
-@query("scan_all_rules")
+_EVERY = (
+    "r1_scan_literals", "r2_scan_workflows", "r3_scan_any_of", "r4_scan_regex", "r5_scan_json_scripts", "r6_scan_config_sections",
+    "r7_scan_module_replacements", "r8_scan_source_directives", "r9_scan_masked_lines", "r10_scan_xml_plugins", "r11_scan_properties",
+    "r12_scan_blocks", "r15_scan_phrase_pairs", "r16_scan_secrets",
+)
+
+
+@query("scan_all_rules", " UNION ALL ".join(f"SELECT {OUT} FROM ({RAW[name]})" for name in _EVERY))
 def scan_all(t: Tables):
+    """All families in the one projection a full scan uses."""
     return found(S.scan(t.files))
 
 

@@ -14,6 +14,7 @@ from workload import derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW: dict[str, str] = {}
 
 _GIVEN = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -112,6 +113,7 @@ def query(name: str, sql: str | None = None):
     def wrap(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql is not None:
+            RAW[name] = sql
             ORACLES[name] = bind_derived(sql)
         return build
 
