@@ -32,18 +32,18 @@ def build_session(app: str = "riskspark", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir`` of the session, else the
+    checkpoint folder the application has set.
 
     Only a local master may fall back to a temporary folder: on a cluster a driver-local folder
     would not survive the loss of an executor.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="riskspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

@@ -35,8 +35,8 @@ def micros(column: str):
 
 @query("s1_read_repo_files", "SELECT repo_id, path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS digest FROM files")
 def s1(t: Tables):
-    """Files laid out as a tree by tasks, then read back recursively."""
-    root = scratch_path(t.spark, "tree").removeprefix("file:")
+    """Files laid out as a tree by tasks in the shared folder, then read back level by level."""
+    root = scratch_path(t.spark, "tree").removeprefix("file://").removeprefix("file:")
 
     def lay_out(rows):
         import os
@@ -47,8 +47,7 @@ def s1(t: Tables):
             with open(target, "wb") as out:
                 out.write(row.content)
 
-    if t.spark.sparkContext.master.startswith("local"):
-        t.raw_files.select("repo_id", "path", "content").foreachPartition(lay_out)
+    t.raw_files.select("repo_id", "path", "content").foreachPartition(lay_out)
     return RS.read_repo_files(t.spark, root).select(
         "repo_id", "path", "size_bytes", F.sha2("content", 256).alias("digest")
     )
