@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from riskspark.llm.textbytes import small_batches
 
@@ -241,5 +242,5 @@ def encode_documents(
     source = small_batches(docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")))
     schema = source.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_texts:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return source.mapInArrow(lambda rows: _digests(rows, keep, model_path, with_texts), schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import compression, neardup, pieces, quality_fm, tokens
+from riskspark.llm import compression, html_crf, langid, mips, mixing, neardup, pieces, quality_fm, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,45 @@ def op9_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], with_texts=False)
+
+
+@_query
+def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(_table(spark, folder, "pages")))
+
+
+@_query
+def op4_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.temperature_mix(_table(spark, folder, "documents"), mixing.Target(0.95, 4.0, 1.0), keep=["doc_id"])
+    return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("source", "tokens", "weight", "epoch", "block", "place")])
+
+
+@_query
+def op5_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    model = langid.train(_table(spark, folder, "documents"))
+    return langid.identify(_table(spark, folder, "pages"), model)
+
+
+@_query
+def op6_norm_bucketed_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return mips.top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op6_norm_bucketed_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return html_crf.extract_main_text(pages, html_crf.train(pages), keep=["page_id", "url"])

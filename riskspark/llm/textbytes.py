@@ -139,9 +139,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Have Arrow batches of the session hold at most ``rows`` rows, so a batch of whole texts stays small."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """Have Arrow batches of the session hold about ``size`` bytes at most, so a batch of whole texts stays small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
