@@ -6,15 +6,16 @@ sets differ in at most as many bits as the sets differ in members. Sets with a J
 agree on a whole chunk (pigeonhole). The number of chunks follows the size, so sets meet in size bands: a set is
 stored in its own band and in the next larger one, as the smaller partner.
 
-A chunk without any n-gram says nothing but would be shared by many. There are ``spare`` more chunks than the
-pigeonhole needs, and sets with at most ``spare`` empty chunks leave those out; a pair of which one side does still
-agrees on a chunk that is not empty.
+Some chunks are shared by many sets that are not alike: those without any n-gram, or with n-grams of a passage found
+everywhere only. There are ``spare`` more chunks than the pigeonhole needs, so alike sets agree on more than ``spare``.
+A key that more than ``HOT`` sets hold is hot. A set with at most ``spare`` hot keys leaves them out: any partner still
+agrees with it on one that is not hot. Sets with more keep all of theirs, so two of them still meet.
 
-Equal sets are one node. Within a group of nodes that agree on a chunk not all pairs are made: first every node is
-compared with one hub only, and the components of these links are found; then, in groups that still hold several
-components, all pairs across components are compared. A pair left out lies within one component, so no link
-that joins anything is lost. Candidates pass a filter on fixed-size parity sketches (Hamming distance), then the exact
-test on the sets.
+Equal sets are one node. Within a group of nodes that agree on a chunk not all pairs are made: first nodes are
+compared with hubs of their groups only, another one in each round, and the components of these links are found; then, in groups that still
+hold several components, all pairs across components are compared. A pair left out lies within one component, so no
+link that joins anything is lost. Candidates pass a filter on fixed-size parity sketches (Hamming distance), then the
+exact test on the sets.
 
 Scale: sketch keys are shuffled once; texts once, to fetch the sets of nodes that share a chunk. Groups are never
 collected; copies were merged before. All intermediate tables lie in the shared folder.
@@ -39,6 +40,9 @@ from riskspark.llm.textbytes import Texts, blocks, hash_runs, lower_ascii, mix,
 from riskspark.session import scratch_path
 
 SKETCH_WORDS = 32  # fixed-size sketch: 64 bits each
+HOT = 32  # sets that hold a key
+HUB_ROUNDS = 2
+PART = 512  # most nodes of a group's part, about
 
 
 @lru_cache(maxsize=8)
@@ -57,7 +61,8 @@ def chunk_count(band: int, num: int, den: int) -> tuple[int, int]:
     if need == 1:
         return 1, 0
     least = int(_starts(num, den)[max(band - 1, 0)])
-    spare = 2 + int(np.ceil(3 * need * np.exp(-least / need)))
+    empty = need * np.exp(-least / need)  # expected chunks without a member
+    spare = 2 + need // 10 + int(np.ceil(2 * empty))
     return need + spare, spare
 
 
@@ -92,26 +97,28 @@ def parity_sketch(members: np.ndarray, n_words: int = SKETCH_WORDS) -> np.ndarra
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def bands_of(size: int, num: int, den: int) -> tuple[int, int]:
+    """The set's own band and the next."""
+    own = int(np.searchsorted(_starts(num, den), size, side="right")) - 1
+    return own, own + 1
+
+
 def chunk_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the sketch's chunks, in the set's own band and the next. The lowest bit tells own (1) from next (0)."""
     out = []
-    size = len(members)
-    own = int(np.searchsorted(_starts(num, den), size, side="right")) - 1
-    for band in (own, own + 1):
-        chunks, spare = chunk_count(band, num, den)
+    bands = bands_of(len(members), num, den)
+    for band in bands:
+        chunks, _ = chunk_count(band, num, den)
         h = mix(members, 1000 + band)
         at = (h % np.uint64(chunks)).astype(np.int64)
         bit = np.uint64(1) << (mix(h, 5) >> np.uint64(58))
         order = np.argsort(at, kind="stable")
         used, begin = np.unique(at[order], return_index=True)
-        value = np.bitwise_xor.reduceat(bit[order], begin)
-        if chunks - len(used) > spare:
-            used, value = np.arange(chunks), np.bincount(used, minlength=chunks) * 0
-            full = np.zeros(chunks, np.uint64)
-            full[at[order][begin]] = np.bitwise_xor.reduceat(bit[order], begin)
-            value = full
-        key = mix(value * np.uint64(0x9E3779B97F4A7C15) + mix(used.astype(np.uint64) + np.uint64(band << 40), 6), 7)
-        out.append((key & ~np.uint64(1)) | np.uint64(band == own))
+        value = np.zeros(chunks, np.uint64)
+        value[used] = np.bitwise_xor.reduceat(bit[order], begin)
+        place = np.arange(chunks, dtype=np.uint64) + np.uint64(band << 40)
+        key = mix(value * np.uint64(0x9E3779B97F4A7C15) + mix(place, 6), 7)
+        out.append((key & ~np.uint64(1)) | np.uint64(band == bands[0]))
     return np.concatenate(out).view(np.int64)
 
 
@@ -121,14 +128,17 @@ def _signatures(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> I
             sets = shingle_sets(texts, k)
             keys = [chunk_keys(s, num, den) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
+            spare = [[chunk_count(b, num, den)[1] for b in bands_of(len(s), num, den)] if len(s) else [0, 0] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(texts.first, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([x[0] for x in spare], pa.int32()),
+                    pa.array([x[1] for x in spare], pa.int32()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))),
                 ],
-                names=["id", "n", "sid", "keys"],
+                names=["id", "n", "sid", "spare_own", "spare_next", "keys"],
             )
 
 
@@ -150,16 +160,41 @@ def _sets(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and the Hamming distance of the sketches allow the similarity."""
+    distance = np.bitwise_count(a ^ b).sum(-1)
+    return (distance * (den + num) <= (den - num) * (n_a + n_b)) & (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num)
+
+
+def _sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, SKETCH_WORDS)
+
+
 def _near_by_sketch(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and Hamming distance allow the similarity."""
+    """Pairs that may link."""
     for batch in rows:
-        if not batch.num_rows:
-            continue
-        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("s_a", "s_b"))
-        distance = np.bitwise_count(a ^ b).sum(1)
-        fits = (distance * (den + num) <= (den - num) * (n_a + n_b)) & (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num)
-        yield batch.select(["a", "b"]).filter(pa.array(fits))
+        if batch.num_rows:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            a, b = (_sketches(batch.column(c).to_pylist()) for c in ("s_a", "s_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(n_a, n_b, a, b, num, den)))
+
+
+def _near_across(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of two parts of a group that may link, lie in different components and not both in their next band."""
+    for batch in rows:
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            (node_a, root_a, own_a, n_a, a), (node_b, root_b, own_b, n_b, b) = (
+                (*(m.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "own", "n")), _sketches(m.values.field("sketch").to_pylist()))
+                for m in (left, right)
+            )
+            found = []
+            for i in range(len(node_a)):
+                at = np.flatnonzero((root_b != root_a[i]) & (own_b | own_a[i]) & (node_b != node_a[i]))
+                at = at[_may_link(n_a[i], n_b[at], a[i], b[at], num, den)]
+                found += [(min(node_a[i], x), max(node_a[i], x)) for x in node_b[at]]
+            if found:
+                low, high = np.unique(np.array(found, np.int64), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
 
 def _linked(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -180,12 +215,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that link."""
-    small = sets.select("node", "n", "sketch")
-    for side in ("a", "b"):
-        pairs = pairs.join(small.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    pairs = pairs.mapInArrow(lambda rows: _near_by_sketch(rows, num, den), "a long, b long")
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, sifted: bool) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that link; ``sifted`` pairs have passed the test on sketches."""
+    if not sifted:
+        small = sets.select("node", "n", "sketch")
+        for side in ("a", "b"):
+            pairs = pairs.join(small.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        pairs = pairs.mapInArrow(lambda rows: _near_by_sketch(rows, num, den), "a long, b long")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"m_{side}")), side)
     return small_batches(pairs).mapInArrow(lambda rows: _linked(rows, num, den), "a long, b long").distinct()
@@ -197,7 +233,7 @@ def near_duplicates(
     """``(id, n_shingles, component_id)`` of every row of ``docs``: the components of the links ``den * intersection
     >= num * union`` between sets of word ``k``-grams (A-Z lower-cased)."""
     source = small_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text")))
-    signed = source.mapInArrow(lambda rows: _signatures(rows, k, num, den), "id long, n long, sid binary, keys array<long>")
+    signed = source.mapInArrow(lambda rows: _signatures(rows, k, num, den), "id long, n long, sid binary, spare_own int, spare_next int, keys array<long>")
     signed = _stored(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     # Equal sets are one node, named by one of its rows.
@@ -208,13 +244,19 @@ def near_duplicates(
     index = one_each.select("row", F.explode("keys").alias("key")).selectExpr(
         "shiftright(key, 1) AS key", "row * 2 + (key & 1) AS entry"
     )
-    shared = index.selectExpr(
-        "key", "entry", "min(entry) OVER (PARTITION BY key) AS low", "max(entry) OVER (PARTITION BY key) AS high",
-        "min(CASE WHEN entry % 2 = 1 THEN entry END) OVER (PARTITION BY key) AS hub",
-    ).where("hub IS NOT NULL AND shiftright(low, 1) < shiftright(high, 1)")
-    shared = _stored(
-        shared.selectExpr("key", "shiftright(entry, 1) AS node", "entry % 2 = 1 AS own", "shiftright(hub, 1) AS hub"), "shared-keys"
-    )
+    held = index.selectExpr(
+        "key", "shiftright(entry, 1) AS node", "entry % 2 = 1 AS own", "count(*) OVER (PARTITION BY key) AS size",
+        "max(entry % 2) OVER (PARTITION BY key) AS any_own",
+    ).where("size > 1 AND any_own = 1")
+    held = _stored(held.drop("any_own"), "shared-keys")
+    spare = signed.select(F.col("row").alias("node"), "spare_own", "spare_next")
+    full = held.where(F.col("size") > HOT).groupBy("node", "own").count().join(spare, "node")
+    full = full.where(F.col("count") > F.when(F.col("own"), F.col("spare_own")).otherwise(F.col("spare_next")))
+    warm = held.where(F.col("size") > HOT).join(full.select("node", "own"), ["node", "own"], "left_semi")
+    left_in = held.where(F.col("size") <= HOT).unionByName(warm.select(held.columns))
+    rest = left_in.groupBy("key").agg(F.count("*").alias("now"), F.count(F.when(F.col("own"), 1)).alias("owners"))
+    shared = left_in.join(rest.where("now > 1 AND owners > 0").select("key"), "key", "left_semi")
+    shared = _stored(shared.select("key", "node", "own", "size"), "kept-keys")
 
     wanted = shared.select("node").distinct().join(nodes, "node").join(signed.select(F.col("row").alias("node"), "id"), "node")
     wanted = wanted.select("node", "sid", F.col("id").alias("wanted_id"))
@@ -223,30 +265,50 @@ def near_duplicates(
         small_batches(fetched).mapInArrow(lambda rows: _sets(rows, k), "node long, sketch binary, members binary, n long"), "sets"
     )
 
-    hubs = shared.where("hub <> node").groupBy("node").agg(F.min("hub").alias("hub"))
-    first = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = _stored(_verify(first, sets, num, den), "hub-links")
-    roots = components(links)
-
-    def rooted(frame: DataFrame) -> DataFrame:
-        return frame.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    # Groups with several components: pairs across them, the smaller partner's own-band entries with both kinds.
-    labelled = rooted(shared.select("key", "node", "own"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    labelled = _stored(labelled.join(open_keys, "key", "left_semi"), "open-groups")
-    left, right = labelled.alias("l"), labelled.where("own").alias("r")
-    across = left.join(right, F.expr("l.key = r.key AND l.root <> r.root AND (NOT l.own OR l.node < r.node)"))
-    across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    more = _stored(_verify(across.join(first, ["a", "b"], "left_anti"), sets, num, den), "cross-links")
-    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-
-    final = rooted(nodes.select("node", "sid", "least")).join(joined.selectExpr("node AS root", "root AS top"), "root", "left")
-    final = final.select("sid", "least", F.coalesce("top", "root").alias("top"))
-    least = final.groupBy("top").agg(F.min("least").alias("component_id"))
-    by_set = final.join(least, "top").select(F.col("sid").alias("set_id"), "component_id")
+    labels = _stored(shared.select("node").distinct().withColumn("root", F.col("node")), "labels")
+
+    def joined(pairs: DataFrame, labels: DataFrame, sifted: bool = False) -> DataFrame:
+        """Labels after the links among ``pairs``."""
+        links = _stored(_verify(pairs, sets, num, den, sifted), "links")
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        ends = ends.join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).selectExpr("root AS top", "node AS root")
+        return _stored(labels.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+
+    def opened(labels: DataFrame) -> DataFrame:
+        """Entries of groups that still hold several components."""
+        entries = shared.join(labels, "node")
+        mixed = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return entries.join(mixed, "key", "left_semi")
+
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    for turn in range(HUB_ROUNDS):
+        entries = opened(labels)
+        # Hot groups offer another hub per key and turn; of the others a node takes one hub.
+        draw = F.when(F.col("own"), F.xxhash64("node", "key", F.lit(turn)))
+        hubs = entries.groupBy("key").agg(F.min_by("node", draw).alias("hub"))
+        hubs = hubs.join(labels.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
+        met = entries.join(hubs, "key").where("root <> hub_root")
+        one = met.where(F.col("size") <= HOT).groupBy("node").agg(F.min("hub").alias("hub"))
+        pairs = one.union(met.where(F.col("size") > HOT).select("node", "hub")).select(*ordered("node", "hub")).distinct()
+        labels = joined(pairs, labels)
+
+    # Pairs across the components that are left in a group. Groups come in parts of bounded size, and parts meet in
+    # pairs; only pairs whose sketches are near enough leave the task.
+    entries = opened(labels).join(sets.select("node", "n", "sketch"), "node")
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(PART))))
+    packed = entries.repartition("key").groupBy("key", "part").agg(F.collect_list(F.struct("node", "root", "own", "n", "sketch")).alias("m"))
+    packed = _stored(packed, "open-groups")
+    meet = packed.selectExpr("key", "part", "m AS left").join(packed.selectExpr("key", "part AS other", "m AS right"), "key")
+    meet = small_batches(meet.where("part <= other").select("left", "right"))
+    near = meet.mapInArrow(lambda rows: _near_across(rows, num, den), "a long, b long").distinct()
+    labels = joined(near, labels, sifted=True)
+
+    named = nodes.join(labels, "node", "left").withColumn("top", F.coalesce("root", "node"))
+    least = named.groupBy("top").agg(F.min("least").alias("component_id"))
+    by_set = named.select("sid", "top").join(least, "top").select(F.col("sid").alias("set_id"), "component_id")
     rows = signed.select("id", F.col("n").alias("n_shingles"), "sid")
     out = rows.join(by_set, F.col("sid") == F.col("set_id"), "left")
     return out.select("id", "n_shingles", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
