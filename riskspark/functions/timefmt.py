@@ -10,7 +10,7 @@ _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})
 
 def parse_ttl(value: Column) -> Column:
     """``12h`` or ``7d`` to an interval; anything else is null."""
-    amount = F.regexp_extract(value, r"^\s*([+-]?\d{1,6})\s*[hd]$", 1).try_cast("int")
+    amount = F.regexp_extract(value, r"^\s*([+-]?\d+)\s*[hd]$", 1).try_cast("int")
     unit = F.substring(value, -1, 1)
     return F.when(
         amount.isNotNull(),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,6 @@ from riskspark.functions.paths import basename, collision_key, dirname, suffix
 
 SNAPSHOT = ["repo_id", "snapshot_id"]
 # A file is compared with every marked directory of its snapshot, so only a handful is broadcast.
-MARKER_LIMIT = 1000
 
 
 def _any(conditions) -> Column:
@@ -52,35 +53,30 @@ def exclude_skipped_dirs(files: DataFrame, dirs=C.SKIP_DIRS) -> DataFrame:
     return files.where(~in_skipped_dir(F.col("path"), dirs))
 
 
-def exclude_marked_dirs(files: DataFrame, marker: str = C.FIXTURE_MARKER) -> DataFrame:
+def exclude_marked_dirs(files: DataFrame, marker: str = C.FIXTURE_MARKER, index: DataFrame | None = None) -> DataFrame:
     """P3. Drop subtrees whose directory holds ``marker``; one at the root does not count.
 
-    Marker directories are few. While there are at most ``MARKER_LIMIT`` they are broadcast and
-    matched by prefix inside their snapshot; beyond that the excluded paths are found by an equality
-    join over (snapshot, ancestor directory) that carries no content.
+    ``index``: the full listing the markers are looked for in, where ``files`` is a part of it. Excluded paths are
+    found by an equality join over (snapshot, ancestor directory) that carries no content.
     """
     marked = (
-        files.where((basename(F.col("path")) == marker) & (dirname(F.col("path")) != ""))
+        (files if index is None else index)
+        .where((basename(F.col("path")) == marker) & (dirname(F.col("path")) != ""))
         .select(*SNAPSHOT, dirname(F.col("path")).alias("marked_dir"))
         .distinct()
     )
-    few = marked.limit(MARKER_LIMIT + 1).count() <= MARKER_LIMIT
-    if few:
-        inside = F.col("f.path").startswith(F.concat(F.col("m.marked_dir"), F.lit("/")))
-        same = [F.col(f"f.{k}").eqNullSafe(F.col(f"m.{k}")) for k in SNAPSHOT]
-        condition = reduce(lambda a, b: a & b, same) & inside
-        return files.alias("f").join(F.broadcast(marked.alias("m")), condition, "left_anti")
     parents = F.split(dirname(F.col("path")), "/")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(parents)), lambda n: F.array_join(F.slice(parents, F.lit(1), n), "/")
     )
-    excluded = (
-        exploded(files.select(*SNAPSHOT, "path"), prefixes, "marked_dir")
-        .join(marked, [*SNAPSHOT, "marked_dir"], "left_semi")
-        .select(*SNAPSHOT, "path")
-        .distinct()
-    )
-    return files.join(excluded, [*SNAPSHOT, "path"], "left_anti")
+
+    def same(left: str, right: str, keys: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+    inside = exploded(files.select(*SNAPSHOT, "path"), prefixes, "marked_dir").alias("i")
+    excluded = inside.join(marked.alias("m"), same("i", "m", [*SNAPSHOT, "marked_dir"]), "left_semi")
+    excluded = excluded.select(*SNAPSHOT, "path").distinct().alias("x")
+    return files.alias("f").join(excluded, same("f", "x", [*SNAPSHOT, "path"]), "left_anti")
 
 
 def bounded_text(files: DataFrame, max_bytes: int = C.MAX_TEXT_BYTES) -> DataFrame:
@@ -123,33 +119,50 @@ def union_files(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).dropDuplicates()
 
 
-def fingerprint(files: DataFrame, max_files: int | None = C.SNAPSHOT_MAX_FILES) -> DataFrame:
+def _running_digests(rows):
+    """SHA-256 of the lines of each snapshot, which arrive together and in order; one hash at a time is held."""
+    names = [*SNAPSHOT, "fingerprint"]
+    key, digest = None, None
+    for batch in rows:
+        out = []
+        for *found, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if digest is None or found != key:
+                if digest is not None:
+                    out.append((*key, f"sha256:{digest.hexdigest()}"))
+                key, digest, first = found, hashlib.sha256(), True
+            if line is not None:
+                digest.update((line if first else "\n" + line).encode())
+                first = False
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=names)
+    if digest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (*key, f"sha256:{digest.hexdigest()}")], names=names)
+
+
+def fingerprint(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """A10. SHA-256 over the ordered ``path:digest`` lines of each snapshot.
 
-    The digest is sequential by definition, so a snapshot must fit one row. Snapshots above
-    ``max_files`` are counted first and reported with ``limit-exceeded`` instead of being
-    gathered; pass ``None`` to lift the limit. Content is hashed before the shuffle.
+    Contents are hashed before the shuffle; the short lines of a snapshot come to one task in order and update one
+    running hash, so a snapshot of any size takes constant memory. With ``max_files``, larger snapshots are reported
+    with ``limit-exceeded`` instead.
     """
     lines = files.select(
-        *SNAPSHOT,
+        *[F.col(k).cast("string") for k in SNAPSHOT],
         "path",
         F.concat(F.col("path"), F.lit(":"), content_digest(F.col("content"))).alias("line"),
     )
-    sizes = lines.groupBy(*SNAPSHOT).agg(F.count("*").alias("files"))
-    over = (F.col("files") > max_files) if max_files is not None else F.lit(False)
-    bounded = lines.join(sizes.where(~over), SNAPSHOT, "left_semi") if max_files is not None else lines
-    digests = bounded.groupBy(*SNAPSHOT).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("path", "line"))), lambda x: x.getField("line")), "\n"
-        ).alias("joined")
-    )
-    return sizes.join(digests, SNAPSHOT, "left").select(
-        *SNAPSHOT,
-        F.when(F.col("joined").isNotNull(), F.concat(F.lit("sha256:"), F.sha2(F.encode("joined", "UTF-8"), 256))).alias(
-            "fingerprint"
-        ),
-        F.when(over, F.lit("limit-exceeded")).alias("error_code"),
-    )
+    over = None
+    if max_files is not None:
+        sizes = lines.groupBy(*SNAPSHOT).agg(F.count("*").alias("files")).where(F.col("files") > max_files)
+        over, lines = sizes.select(*SNAPSHOT), lines.join(sizes, SNAPSHOT, "left_anti")
+    ordered = lines.repartition(*SNAPSHOT).sortWithinPartitions(*SNAPSHOT, "path", "line").select(*SNAPSHOT, "line")
+    schema = ", ".join(f"{c} string" for c in (*SNAPSHOT, "fingerprint"))
+    done = ordered.mapInArrow(lambda rows: _running_digests(rows), schema)
+    done = done.withColumn("error_code", F.lit(None).cast("string"))
+    if over is None:
+        return done
+    refused = over.withColumn("fingerprint", F.lit(None).cast("string")).withColumn("error_code", F.lit("limit-exceeded"))
+    return done.unionByName(refused)
 
 
 def snapshot_usage(manifest: DataFrame) -> DataFrame:

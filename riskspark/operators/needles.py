@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.rows import exploded
-from riskspark.session import BROADCAST_ROW_LIMIT, fits_broadcast
 
 ANCHOR_WORDS = 3
 _WORD = r"(?U)[\p{L}\p{N}_]+"
@@ -21,9 +20,8 @@ def scan_needles(files: DataFrame, needles: DataFrame) -> DataFrame:
 
     Words inside a needle must appear in the file next to each other, so a needle is anchored on
     three consecutive words away from its edges and files are joined on such word triples. The
-    needle is then searched in the files its anchor occurs in. Anchors are broadcast while they
-    are proven few; otherwise triples are joined by hash and the text is joined back once per
-    candidate. Needles too short for an anchor are refused: they are rules, see scan_user_rules.
+    needle is then searched in the files its anchor occurs in: triples are joined without the
+    text, which is joined back once per candidate. Needles too short for an anchor are refused: they are rules, see scan_user_rules.
     """
     lowered = needles.select("needle_id", F.lower("needle").alias("needle"))
     inner = F.slice(_words(F.col("needle")), 2, ANCHOR_WORDS)
@@ -49,10 +47,6 @@ def scan_needles(files: DataFrame, needles: DataFrame) -> DataFrame:
     keys = ["repo_id", "snapshot_id", "path"]
     text = files.where(F.col("text").isNotNull()).withColumn("low", F.lower("text"))
     worded = text.withColumn("words", _words(F.col("low")))
-    if fits_broadcast(checked, BROADCAST_ROW_LIMIT):
-        spread = exploded(worded, triples, "anchor").select(*keys, "low", "anchor")
-        found = spread.join(F.broadcast(checked), "anchor").where(F.contains("low", F.col("needle")))
-        return found.select(*keys, "needle_id")
     pairs = (
         exploded(worded, triples, "anchor")
         .select(*keys, "anchor")

@@ -122,9 +122,9 @@ def matrix_minimum() -> Column:
 def join_policy(findings: DataFrame, matrix: DataFrame, scope: Column) -> DataFrame:
     """J1. Minimum decision for the scope, hard block and rationale; unmatched stay null.
 
-    The matrix has one row per rule of the catalogue, so it is always small enough to broadcast.
+    The matrix has a row per rule, and users add rows; Spark measures it and picks the join.
     """
-    joined = findings.join(F.broadcast(matrix), "rule_id", "left")
+    joined = findings.join(matrix, "rule_id", "left")
     minimum = F.coalesce(F.element_at("scope_minimums", scope), F.col("default_minimum"))
     return joined.withColumn("minimum", minimum).drop("scope_minimums", "default_minimum")
 

@@ -20,16 +20,20 @@ def _order(frame: DataFrame) -> Column:
     return F.struct(*[c for c in ORDER if c in frame.columns])
 
 
-def cap_findings(findings: DataFrame, keys: list[str], n: int = LIMITS["findings"]) -> DataFrame:
+def cap_findings(
+    findings: DataFrame, keys: list[str], n: int = LIMITS["findings"], totals: DataFrame | None = None
+) -> DataFrame:
     """W2. Top ``n`` per key by severity, then order; original order when nothing is left out.
 
     The ranked limit runs before the shuffle and the total is a partial count, so a key with any
     number of findings sends at most ``n`` rows per task. ``position`` is the place in the report.
+    ``totals`` (keys and ``total``) is needed where ``findings`` have been capped before.
     """
     ranked = findings.withColumn("_rank", severity_rank(F.col("severity"))).withColumn("_order", _order(findings))
     best = Window.partitionBy(*keys).orderBy("_rank", "_order")
     top = ranked.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n)
-    totals = findings.groupBy(*keys).agg(F.count("*").alias("total"))
+    if totals is None:
+        totals = findings.groupBy(*keys).agg(F.count("*").alias("total"))
     place = Window.partitionBy(*keys).orderBy(
         F.when(F.col("total") > n, F.col("_rank")).otherwise(F.lit(0)), "_order"
     )

@@ -32,7 +32,6 @@ from riskspark.functions.text import (
 
 KEYS = ["repo_id", "snapshot_id", "path"]
 HIT = "struct<no:int,ord:int,line:int,evidence:string>"
-USER_RULE_LIMIT = 2000
 # Rows a user catalogue has: kind is literal, any_of, regex or pair.
 USER_RULE_SCHEMA = (
     "rule_id string, severity string, kind string, needles array<string>, path_pattern string, title string, "
@@ -770,12 +769,10 @@ def scan_command_aware(selected: DataFrame) -> DataFrame:
 def scan_user_rules(files: DataFrame, catalogue: DataFrame) -> DataFrame:
     """X2. Rules given as rows (``USER_RULE_SCHEMA``), compiled like the built-in ones.
 
-    A rule catalogue is code-sized; more than ``USER_RULE_LIMIT`` rows are refused rather than
-    cut, since every rule becomes an expression. Large needle lists go to ``scan_needles``.
+    A rule catalogue is code: every rule becomes an expression, however many there are. Needle lists that grow
+    with data go to ``scan_needles``.
     """
-    rules = catalogue.orderBy("rule_id", "kind").limit(USER_RULE_LIMIT + 1).collect()
-    if len(rules) > USER_RULE_LIMIT:
-        raise ValueError(f"more than {USER_RULE_LIMIT} user rules; use scan_needles for needle lists")
+    rules = catalogue.orderBy("rule_id", "kind").collect()
     f = _File()
     entries = []
     for i, rule in enumerate(rules):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.catalogue import policy as P
+from riskspark.catalogue import files as FILES
 from riskspark.operators import commands as C
 from riskspark.operators import files as FS
 from riskspark.operators import graph as G
@@ -40,13 +41,11 @@ class Assessment:
         n = RP.LIMITS["findings"]
         top = RP.cap_findings(self.repo_findings, SNAP, n).drop("position", "total")
         shared = self.plans.select("plan_id", *SNAP).join(top, SNAP).drop(*SNAP)
-        capped = RP.cap_findings(self.plan_findings.unionByName(shared), ["plan_id"], n)
         totals = (
             self.contributions.groupBy("plan_id").agg(F.sum("finding_count").cast("bigint").alias("total"))
         )
         # A place in the report depends on the true total, not on the total after the first cap.
-        ordered = capped.drop("total").join(totals, "plan_id")
-        return ordered, totals
+        return RP.cap_findings(self.plan_findings.unionByName(shared), ["plan_id"], n, totals), totals
 
     def summary(self) -> DataFrame:
         """Severity counts per plan."""
@@ -75,10 +74,14 @@ def _with_text(files: DataFrame) -> DataFrame:
     return files if "text" in files.columns else FS.bounded_text(files)
 
 
-def repository_findings(files: DataFrame, origins: DataFrame | None = None) -> DataFrame:
-    """Scan findings of critical files, first per rule and file, with their order."""
+def repository_findings(files: DataFrame, origins: DataFrame | None = None, marker: str = FILES.FIXTURE_MARKER) -> DataFrame:
+    """Scan findings of critical files, first per rule and file, with their order.
+
+    Markers are no critical files themselves, so directories are excluded by the full listing.
+    """
     text = _with_text(files)
-    critical = FS.exclude_marked_dirs(FS.exclude_skipped_dirs(FS.critical_files(text)))
+    listing = files.select(*SNAP, "path")
+    critical = FS.exclude_marked_dirs(FS.exclude_skipped_dirs(FS.critical_files(text)), marker, listing)
     if origins is None:
         origins = text.sparkSession.createDataFrame([], "repo_id string, origin_slug string")
     found = S.scan(critical).unionByName(L.classify_links(L.extract_links(L.documents(critical)), origins))
@@ -109,6 +112,7 @@ def assess(
     commands: DataFrame,
     origins: DataFrame | None = None,
     matrix: DataFrame | None = None,
+    marker: str = FILES.FIXTURE_MARKER,
 ) -> Assessment:
     """Analyse every command against the snapshot it is planned in.
 
@@ -117,7 +121,7 @@ def assess(
     """
     text = _with_text(files)
     matrix = PO.default_matrix(text.sparkSession) if matrix is None else matrix
-    repo_findings = cut(repository_findings(text, origins))
+    repo_findings = cut(repository_findings(text, origins, marker))
     plans = cut(C.distinct_plans(commands))
 
     general, java = _selected_findings(plans, text)

