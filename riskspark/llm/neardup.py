@@ -1,9 +1,10 @@
 """N-gram Jaccard join with parity sketches.
 
-A document is the set of its distinct word n-grams. Every n-gram flips one bit of a bit sketch, so the sketches of two
-sets differ in at most as many bits as the sets differ in members. Sets with a Jaccard similarity of at least
-``p / q`` differ in at most ``t = (q - p) (|A| + |B|) / (q + p)`` members. Cut into more than ``t`` chunks, their sketches
-agree on a whole chunk (pigeonhole). The number of chunks follows the size, so sets meet in size bands: a set is
+A document is the set of its distinct word n-grams. In a parity sketch every n-gram flips one bit, so the sketches of
+two sets differ in at most as many bits as the sets differ in members. A chunked sketch deals the n-grams to chunks by
+hash and keeps the XOR of the 64-bit hashes of each chunk, so it differs in at most as many chunks. Sets with a Jaccard similarity of at least
+``p / q`` differ in at most ``t = (q - p) (|A| + |B|) / (q + p)`` members. With more than ``t`` chunks
+they agree on a whole chunk (pigeonhole). The number of chunks follows the size, so sets meet in size bands: a set is
 stored in its own band and in the next larger one, as the smaller partner.
 
 Some chunks are shared by many sets that are not alike: those without any n-gram, or with n-grams of a passage found
@@ -111,11 +112,11 @@ def chunk_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
         chunks, _ = chunk_count(band, num, den)
         h = mix(members, 1000 + band)
         at = (h % np.uint64(chunks)).astype(np.int64)
-        bit = np.uint64(1) << (mix(h, 5) >> np.uint64(58))
+        bits = mix(h, 5)
         order = np.argsort(at, kind="stable")
         used, begin = np.unique(at[order], return_index=True)
         value = np.zeros(chunks, np.uint64)
-        value[used] = np.bitwise_xor.reduceat(bit[order], begin)
+        value[used] = np.bitwise_xor.reduceat(bits[order], begin)
         place = np.arange(chunks, dtype=np.uint64) + np.uint64(band << 40)
         key = mix(value * np.uint64(0x9E3779B97F4A7C15) + mix(place, 6), 7)
         out.append((key & ~np.uint64(1)) | np.uint64(band == bands[0]))
