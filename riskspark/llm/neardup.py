@@ -40,7 +40,7 @@ from riskspark.llm.components import components
 from riskspark.llm.textbytes import Texts, blocks, hash_runs, lower_ascii, mix, small_batches, windows
 from riskspark.session import scratch_path
 
-SKETCH_WORDS = 32  # fixed-size sketch: 64 bits each
+SKETCH_WORDS = 12  # fixed-size sketch: 64 bits each
 HOT = 32  # sets that hold a key
 HUB_ROUNDS = 2
 PART = 512  # most nodes of a group's part, about
