@@ -2,8 +2,8 @@
 
 A document is the set of its distinct word n-grams. In a parity sketch every n-gram flips one bit, so the sketches of
 two sets differ in at most as many bits as the sets differ in members. A chunked sketch deals the n-grams to chunks by
-hash and keeps the XOR of the 64-bit hashes of each chunk, so it differs in at most as many chunks. Sets with a Jaccard similarity of at least
-``p / q`` differ in at most ``t = (q - p) (|A| + |B|) / (q + p)`` members. With more than ``t`` chunks
+hash and keeps the XOR of the 64-bit hashes of each chunk, so it differs in at most as many chunks. Sets with a
+Jaccard similarity of at least ``p / q`` differ in at most ``t = (q - p) (|A| + |B|) / (q + p)`` members. With more than ``t`` chunks
 they agree on a whole chunk (pigeonhole). The number of chunks follows the size, so sets meet in size bands: a set is
 stored in its own band and in the next larger one, as the smaller partner.
 
@@ -15,11 +15,11 @@ agrees with it on one that is not hot. Sets with more keep all of theirs, so two
 Equal sets are one node. Within a group of nodes that agree on a chunk not all pairs are made: first nodes are
 compared with hubs of their groups only, another one in each round, and the components of these links are found; then, in groups that still
 hold several components, all pairs across components are compared. A pair left out lies within one component, so no
-link that joins anything is lost. Candidates pass a filter on fixed-size parity sketches (Hamming distance), then the
-exact test on the sets.
+link that joins anything is lost. Candidates pass a filter on parity sketches with a bit or two for each member (Hamming
+distance), then the exact test on the sets.
 
-Scale: sketch keys are shuffled once; texts once, to fetch the sets of nodes that share a chunk. Groups are never
-collected; copies were merged before. All intermediate tables lie in the shared folder.
+Scale: one text of each node is shuffled once, compressed, and its keys once. Keys with equal groups are one group.
+Groups are never collected whole; copies were merged before. All intermediate tables lie in the shared folder.
 
 Defined results: a document without words (null or empty text) has no shingles and is linked with nothing; it is its
 own component. A null identifier takes part: its component is the smallest identifier reachable, null if there is none.
@@ -33,17 +33,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.components import components
-from riskspark.llm.textbytes import Texts, blocks, hash_runs, lower_ascii, mix, small_batches, windows
+from riskspark.llm.textbytes import BLOCK_BYTES, Texts, blocks, hash_runs, lower_ascii, mix, small_batches, windows
 from riskspark.session import scratch_path
 
-SKETCH_WORDS = 12  # fixed-size sketch: 64 bits each
+SKETCH_WORDS = 12  # default length of a sketch: 64 bits each
 HOT = 32  # sets that hold a key
 HUB_ROUNDS = 2
-PART = 512  # most nodes of a group's part, about
+PART_BYTES = 4 << 20  # sketches of a group's part, about
 
 
 @lru_cache(maxsize=8)
@@ -98,6 +99,17 @@ def parity_sketch(members: np.ndarray, n_words: int = SKETCH_WORDS) -> np.ndarra
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def own_sketch(members: np.ndarray) -> bytes:
+    """Parity sketch with a bit or two for each member: a power of two, so that sketches fold to a common length."""
+    return parity_sketch(members, max(2, 1 << (len(members) - 1).bit_length() >> 6)).tobytes()
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches, XOR-folded to the length of the shortest."""
+    words = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches])
+
+
 def bands_of(size: int, num: int, den: int) -> tuple[int, int]:
     """The set's own band and the next."""
     own = int(np.searchsorted(_starts(num, den), size, side="right")) - 1
@@ -123,42 +135,55 @@ def chunk_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def _unpacked(column: list[bytes]) -> Iterator[Texts]:
+    """Compressed texts as blocks of about ``BLOCK_BYTES``; a longer text is a block of its own."""
+    unpack, at = zstandard.ZstdDecompressor(), 0
+    while at < len(column):
+        to, size = at, 0
+        while to < len(column) and (to == at or size + zstandard.frame_content_size(column[to]) <= BLOCK_BYTES):
+            size += zstandard.frame_content_size(column[to])
+            to += 1
+        texts = [unpack.decompress(x) for x in column[at:to]]
+        yield Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), at)
+        at = to
+
+
 def _signatures(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for texts in blocks(batch.column("text")):
             sets = shingle_sets(texts, k)
-            keys = [chunk_keys(s, num, den) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
             spare = [[chunk_count(b, num, den)[1] for b in bands_of(len(s), num, den)] if len(s) else [0, 0] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").slice(texts.first, len(texts)),
+                    *(batch.column(c).slice(texts.first, len(texts)) for c in ("id", "digest")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([own_sketch(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([x[0] for x in spare], pa.int32()),
                     pa.array([x[1] for x in spare], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))),
                 ],
-                names=["id", "n", "sid", "spare_own", "spare_next", "keys"],
+                names=["id", "digest", "n", "sid", "sketch", "spare_own", "spare_next"],
             )
 
 
-def _sets(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted nodes; a row of the same identifier with another text is not the node."""
+def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, so that they take little room on their way to their nodes."""
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in rows:
         for texts in blocks(batch.column("text")):
-            wanted = batch.column("sid").slice(texts.first, len(texts)).to_pylist()
-            sets = shingle_sets(texts, k)
-            good = [i for i, s in enumerate(sets) if len(s) and set_id(s) == wanted[i]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node").slice(texts.first, len(texts)).take(pa.array(good, pa.int64())),
-                    pa.array([parity_sketch(sets[i]).tobytes() for i in good], pa.binary()),
-                    pa.array([sets[i].tobytes() for i in good], pa.binary()),
-                    pa.array([len(sets[i]) for i in good], pa.int64()),
-                ],
-                names=["node", "sketch", "members", "n"],
-            )
+            columns = [batch.column(c).slice(texts.first, len(texts)) for c in ("id", "digest")]
+            packed = pa.array([pack.compress(texts.text(i)) for i in range(len(texts))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, packed], names=["text_id", "text_digest", "packed"])
+
+
+def _keys(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Chunk keys of the nodes."""
+    for batch in rows:
+        for texts in _unpacked(batch.column("packed").to_pylist()):
+            keys = [chunk_keys(s, num, den) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(texts, k)]
+            offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(texts.first, len(texts)), lists], names=["node", "keys"])
 
 
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -167,47 +192,65 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, nu
     return (distance * (den + num) <= (den - num) * (n_a + n_b)) & (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num)
 
 
-def _sketches(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, SKETCH_WORDS)
+def _sketches(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
 def _near_by_sketch(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs that may link."""
     for batch in rows:
-        if batch.num_rows:
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            a, b = (_sketches(batch.column(c).to_pylist()) for c in ("s_a", "s_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(_may_link(n_a, n_b, a, b, num, den)))
+        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        pairs = zip(_sketches(batch.column("s_a")), _sketches(batch.column("s_b")), strict=True)
+        good = [bool(_may_link(n_a[i], n_b[i], *folded(pair), num, den)) for i, pair in enumerate(pairs)]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _near_across(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of two parts of a group that may link, lie in different components and not both in their next band."""
+def _near_in_group(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two parts of a group (or of a part with itself) that may link, lie in different components and not both
+    in their next band."""
     for batch in rows:
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            (node_a, root_a, own_a, n_a, a), (node_b, root_b, own_b, n_b, b) = (
-                (*(m.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "own", "n")), _sketches(m.values.field("sketch").to_pylist()))
-                for m in (left, right)
+        low, high = (batch.column(c).to_pylist() for c in ("low", "high"))
+        for i, group in enumerate(batch.column("m")):
+            part, node, root, own, n = (
+                group.values.field(c).to_numpy(zero_copy_only=False) for c in ("part", "node", "root", "own", "n")
             )
-            found = []
-            for i in range(len(node_a)):
-                at = np.flatnonzero((root_b != root_a[i]) & (own_b | own_a[i]) & (node_b != node_a[i]))
-                at = at[_may_link(n_a[i], n_b[at], a[i], b[at], num, den)]
-                found += [(min(node_a[i], x), max(node_a[i], x)) for x in node_b[at]]
-            if found:
-                low, high = np.unique(np.array(found, np.int64), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
-
-
-def _linked(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with ``den * |A and B| >= num * |A or B|``."""
+            sketch = folded(_sketches(group.values.field("sketch")))
+            others = np.arange(len(node)) if low[i] == high[i] else np.flatnonzero(part == high[i])
+            a, b = [], []
+            for x in range(len(node)) if low[i] == high[i] else np.flatnonzero(part == low[i]):
+                at = others[(root[others] != root[x]) & (own[others] | own[x])]
+                if low[i] == high[i]:
+                    at = at[at > x]
+                at = at[_may_link(n[x], n[at], sketch[x], sketch[at], num, den)]
+                a.append(np.minimum(node[x], node[at]))
+                b.append(np.maximum(node[x], node[at]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _linked(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with ``den * |A and B| >= num * |A or B|``, a bounded number of bytes of text at a time."""
     for batch in rows:
-        good = []
-        for x, y in zip(batch.column("m_a"), batch.column("m_b"), strict=True):
-            a, b = (np.frombuffer(m.as_py(), np.uint64) for m in (x, y))
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(den * common >= num * (len(a) + len(b) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
+        at = 0
+        while at < len(a):
+            texts, size, to = {}, 0, at
+            while to < len(a) and (to == at or size <= 4 * BLOCK_BYTES):
+                for node, text in ((a[to], x[to]), (b[to], y[to])):
+                    if node not in texts:
+                        texts[node] = text
+                        size += zstandard.frame_content_size(text)
+                to += 1
+            found = [s for block in _unpacked(list(texts.values())) for s in shingle_sets(block, k)]
+            sets = dict(zip(texts, found, strict=True))
+            good = []
+            for i in range(at, to):
+                one, two = sets[a[i]], sets[b[i]]
+                both = np.sort(np.concatenate([one, two]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(den * common >= num * (len(one) + len(two) - common))
+            yield batch.select(["a", "b"]).slice(at, to - at).filter(pa.array(good, pa.bool_()))
+            at = to
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -216,16 +259,20 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, sifted: bool) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int, sifted: bool) -> DataFrame:
     """The pairs ``(a, b)`` of nodes that link; ``sifted`` pairs have passed the test on sketches."""
     if not sifted:
-        small = sets.select("node", "n", "sketch")
+        small = nodes.select("node", "n", "sketch")
         for side in ("a", "b"):
             pairs = pairs.join(small.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
         pairs = pairs.mapInArrow(lambda rows: _near_by_sketch(rows, num, den), "a long, b long")
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"m_{side}")), side)
-    return small_batches(pairs).mapInArrow(lambda rows: _linked(rows, num, den), "a long, b long").distinct()
+    # Stored, pairs have a known size, by which Spark chooses how they meet the texts.
+    pairs = _stored(pairs.distinct(), "pairs")
+    one, two = (
+        pairs.join(texts.select(F.col("node").alias(side), F.col("packed").alias(f"text_{side}")), side) for side in ("a", "b")
+    )
+    both = small_batches(one.join(two, ["a", "b"]))
+    return both.mapInArrow(lambda rows: _linked(rows, k, num, den), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -233,44 +280,49 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row of ``docs``: the components of the links ``den * intersection
     >= num * union`` between sets of word ``k``-grams (A-Z lower-cased)."""
-    source = small_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text")))
-    signed = source.mapInArrow(lambda rows: _signatures(rows, k, num, den), "id long, n long, sid binary, spare_own int, spare_next int, keys array<long>")
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"))
+    source = small_batches(source.withColumn("digest", F.xxhash64("text")))
+    signed = source.mapInArrow(
+        lambda rows: _signatures(rows, k, num, den),
+        "id long, digest long, n long, sid binary, sketch binary, spare_own int, spare_next int",
+    )
     signed = _stored(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     # Equal sets are one node, named by one of its rows.
     nodes = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("node"), F.min("id").alias("least"))
+    nodes = nodes.join(signed.drop("sid").withColumnRenamed("row", "node"), "node")
     nodes = _stored(nodes, "nodes")
-    one_each = signed.select("row", "keys").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    packed = source.mapInArrow(_packed, "text_id long, text_digest long, packed binary")
+    same = F.col("id").eqNullSafe(F.col("text_id")) & (F.col("digest") == F.col("text_digest"))
+    texts = _stored(nodes.select("node", "id", "digest").join(packed, same).select("node", "packed"), "node-texts")
+
     # Key without its lowest bit; that bit (own band or not) joins the node instead.
-    index = one_each.select("row", F.explode("keys").alias("key")).selectExpr(
-        "shiftright(key, 1) AS key", "row * 2 + (key & 1) AS entry"
-    )
+    keyed = small_batches(texts).mapInArrow(lambda rows: _keys(rows, k, num, den), "node long, keys array<long>")
+    index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
+    # Keys with the same entries are the same group: their label is made of the entries.
+    over = "OVER (PARTITION BY key)"
     held = index.selectExpr(
-        "key", "shiftright(entry, 1) AS node", "entry % 2 = 1 AS own", "count(*) OVER (PARTITION BY key) AS size",
-        "max(entry % 2) OVER (PARTITION BY key) AS any_own",
-    ).where("size > 1 AND any_own = 1")
-    held = _stored(held.drop("any_own"), "shared-keys")
-    spare = signed.select(F.col("row").alias("node"), "spare_own", "spare_next")
+        "key", "shiftright(entry, 1) AS node", "entry % 2 = 1 AS own", f"count(*) {over} AS size", f"min(entry) {over} AS low",
+        f"max(entry) {over} AS high", f"max(entry % 2) {over} AS any_own", f"sum(xxhash64(entry) & 1073741823) {over} AS mixed",
+    ).where("shiftright(low, 1) < shiftright(high, 1) AND any_own = 1")
+    held = _stored(held.selectExpr("node", "own", "size", "xxhash64(size, low, high, mixed) AS key"), "shared-keys")
+    spare = nodes.select("node", "spare_own", "spare_next")
     full = held.where(F.col("size") > HOT).groupBy("node", "own").count().join(spare, "node")
     full = full.where(F.col("count") > F.when(F.col("own"), F.col("spare_own")).otherwise(F.col("spare_next")))
     warm = held.where(F.col("size") > HOT).join(full.select("node", "own"), ["node", "own"], "left_semi")
-    left_in = held.where(F.col("size") <= HOT).unionByName(warm.select(held.columns))
-    rest = left_in.groupBy("key").agg(F.count("*").alias("now"), F.count(F.when(F.col("own"), 1)).alias("owners"))
-    shared = left_in.join(rest.where("now > 1 AND owners > 0").select("key"), "key", "left_semi")
-    shared = _stored(shared.select("key", "node", "own", "size"), "kept-keys")
-
-    wanted = shared.select("node").distinct().join(nodes, "node").join(signed.select(F.col("row").alias("node"), "id"), "node")
-    wanted = wanted.select("node", "sid", F.col("id").alias("wanted_id"))
-    fetched = source.join(wanted, source.id.eqNullSafe(wanted.wanted_id)).select("node", "sid", "text")
-    sets = _stored(
-        small_batches(fetched).mapInArrow(lambda rows: _sets(rows, k), "node long, sketch binary, members binary, n long"), "sets"
+    left_in = held.where(F.col("size") <= HOT).unionByName(warm.select(held.columns)).distinct()
+    left_in = _stored(left_in.select("key", "node", "own").join(nodes.select("node", "n"), "node"), "kept-entries")
+    rest = left_in.groupBy("key").agg(
+        F.count("*").alias("size"), F.count(F.when(F.col("own"), 1)).alias("owners"), F.max("n").alias("most")
     )
+    shared = left_in.join(rest.where("size > 1 AND owners > 0").select("key", "size", "most"), "key")
+    shared = _stored(shared, "kept-keys")
 
     labels = _stored(shared.select("node").distinct().withColumn("root", F.col("node")), "labels")
 
     def joined(pairs: DataFrame, labels: DataFrame, sifted: bool = False) -> DataFrame:
         """Labels after the links among ``pairs``."""
-        links = _stored(_verify(pairs, sets, num, den, sifted), "links")
+        links = _stored(_verify(pairs, nodes, texts, k, num, den, sifted), "links")
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         ends = ends.join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).selectExpr("root AS top", "node AS root")
@@ -298,13 +350,12 @@ def near_duplicates(
 
     # Pairs across the components that are left in a group. Groups come in parts of bounded size, and parts meet in
     # pairs; only pairs whose sketches are near enough leave the task.
-    entries = opened(labels).join(sets.select("node", "n", "sketch"), "node")
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(PART))))
-    packed = entries.repartition("key").groupBy("key", "part").agg(F.collect_list(F.struct("node", "root", "own", "n", "sketch")).alias("m"))
-    packed = _stored(packed, "open-groups")
-    meet = packed.selectExpr("key", "part", "m AS left").join(packed.selectExpr("key", "part AS other", "m AS right"), "key")
-    meet = small_batches(meet.where("part <= other").select("left", "right"))
-    near = meet.mapInArrow(lambda rows: _near_across(rows, num, den), "a long, b long").distinct()
+    parts = F.ceil(F.col("size") * (F.col("most") / 4 + 64) / F.lit(PART_BYTES))
+    entries = opened(labels).join(nodes.select("node", "sketch"), "node")
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    entries = entries.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "node", "root", "own", "n", "sketch").alias("e"))
+    groups = small_batches(entries.groupBy("key", "low", "high").agg(F.collect_list("e").alias("m")))
+    near = groups.mapInArrow(lambda rows: _near_in_group(rows, num, den), "a long, b long")
     labels = joined(near, labels, sifted=True)
 
     named = nodes.join(labels, "node", "left").withColumn("top", F.coalesce("root", "node"))
