@@ -154,6 +154,30 @@ def test_near_duplicates_equal_all_pairs(spark, k, num, den):
     assert sorted(((-1 if r.id is None else r.id), r.n_shingles, (-1 if r.component_id is None else r.component_id)) for r in got) == _components(rows, k, num, den)
 
 
+def test_near_duplicates_of_groups_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", 0)  # every link is left to the parts of groups
+    monkeypatch.setattr(neardup, "PART_BYTES", 1000)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    hub = rng.choices(words, k=150)
+    rows = []
+    for i in range(60):
+        copy = list(hub)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(150)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90, 100)
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 64, 65, 700, 1000):
+        a, b = (np.unique(rng.integers(0, 2 * size, n).astype(np.uint64)) for n in (size, size * 3 // 2 + 1))
+        one, two = neardup.folded([np.frombuffer(neardup.own_sketch(m), np.uint64) for m in (a, b)])
+        assert int(np.bitwise_count(one ^ two).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):
