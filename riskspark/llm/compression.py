@@ -1,9 +1,12 @@
-"""Quality rules from compression: zstandard ratios of whole documents and of fixed chunks.
+"""Quality rules from compression: zstandard ratios of whole documents, of fixed chunks and of short parts.
 
 Repetitive text compresses too well and noise hardly at all. What is usual depends on length (a short text cannot
-share much with itself), so the limits are bands over the length in bytes. A document is judged as a whole and by
-its chunks of fixed size: a text that hides a long repetitive or incompressible passage passes as a whole but not
-by its chunks.
+share much with itself), so the limits are bands over the length in bytes. A document is judged as a whole, by its
+chunks of fixed size and by parts of an eighth of that: a text that hides a long repetitive or incompressible passage
+passes as a whole but not by these. What is left behind the last whole chunk is a chunk with the limits of its
+length, from one part on; what is left behind the last whole part belongs to that part. So every byte of a text of
+512 bytes or more is in a part, and shorter texts are judged as a whole only. A bad run is a row of bad parts: with
+the given limits none may be longer than 1,024 bytes, so a bad passage of 2,047 bytes is found wherever it starts.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept. Ratios of an empty text
 are null. Rows with equal texts get equal results; any other columns are carried along unread.
@@ -40,14 +43,21 @@ DOCUMENT_BANDS = (
     Limits(2000, 0.14, 0.78), Limits(5000, 0.11, 0.74), Limits(20000, 0.08, 0.72),
 )
 CHUNK_BYTES = 4096
-# Whole chunks only, so one band suffices.
 CHUNK_LIMITS = Limits(CHUNK_BYTES, 0.10, 0.76)
+# Texts of 512 to 1,023 bytes between the limits of prose (0.21 to 0.71 on the given tables) and of noise (from 0.85).
+PART_BYTES = 512
+PART_LIMITS = Limits(PART_BYTES, 0.15, 0.80)
+# The rest behind the last whole chunk, by length.
+TAIL_BANDS = (PART_LIMITS, Limits(1024, 0.13, 0.78), Limits(2048, 0.11, 0.77))
+# Largest share of bad chunks, and of bad parts by bytes.
 MAX_BAD_CHUNKS = 0.25
+MAX_BAD_RUN = 1024
 LEVEL = 3
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "n_bytes long, ratio double, n_chunks long, n_low_chunks long, n_high_chunks long, kept boolean"
+    "n_bytes long, ratio double, n_chunks long, n_low_chunks long, n_high_chunks long, "
+    "n_bad_bytes long, bad_run long, kept boolean"
 )
 
 
@@ -108,38 +118,69 @@ def _band(size: int, bands: tuple[Limits, ...]) -> Limits:
 
 
 def ratios(
-    text: bytes, compressor: zstandard.ZstdCompressor, chunk_bytes: int, limits: Limits
-) -> tuple[float | None, int, int, int]:
-    """Ratio of the whole text; number of whole chunks, of too repetitive and of incompressible ones."""
+    text: bytes,
+    compressor: zstandard.ZstdCompressor,
+    chunk_bytes: int,
+    limits: Limits,
+    tail_bands: tuple[Limits, ...] = TAIL_BANDS,
+    part_limits: Limits = PART_LIMITS,
+) -> tuple[float | None, int, int, int, int, int]:
+    """Ratio of the whole text; number of chunks, of too repetitive and of incompressible ones; bytes in bad parts and
+    in the longest row of them."""
+    size = len(text)
     if not text:
-        return None, 0, 0, 0
-    whole = len(compressor.compress(text)) / len(text)
-    chunks = len(text) // chunk_bytes
-    low = high = 0
-    for i in range(chunks):
-        part = len(compressor.compress(text[i * chunk_bytes : (i + 1) * chunk_bytes])) / chunk_bytes
-        low += part < limits.low
-        high += part > limits.high
-    return whole, chunks, low, high
+        return None, 0, 0, 0, 0, 0
+
+    def ratio(start: int, end: int) -> float:
+        return len(compressor.compress(text[start:end])) / (end - start)
+
+    chunks = low = high = 0
+    for start in range(0, size, chunk_bytes):
+        end = min(start + chunk_bytes, size)
+        if end - start < chunk_bytes and end - start < tail_bands[0].from_bytes:
+            continue
+        usual = limits if end - start == chunk_bytes else _band(end - start, tail_bands)
+        found = ratio(start, end)
+        chunks += 1
+        low += found < usual.low
+        high += found > usual.high
+
+    bad = run = longest = 0
+    part_bytes = part_limits.from_bytes
+    whole_parts = size // part_bytes
+    for i in range(whole_parts):
+        start, end = i * part_bytes, (i + 1) * part_bytes if i < whole_parts - 1 else size
+        if part_limits.low <= ratio(start, end) <= part_limits.high:
+            run = 0
+        else:
+            bad += end - start
+            run += end - start
+            longest = max(longest, run)
+    return ratio(0, size), chunks, low, high, bad, longest
 
 
 def _score(rows: Iterator[pa.RecordBatch], keep: list[str], options: dict) -> Iterator[pa.RecordBatch]:
     compressor = zstandard.ZstdCompressor(level=options["level"])
     bands, chunk_bytes, limits, most = (options[k] for k in ("bands", "chunk_bytes", "chunk_limits", "max_bad_chunks"))
+    tail_bands, part_limits, most_run = (options[k] for k in ("tail_bands", "part_limits", "max_bad_run"))
     for batch in rows:
         for texts in blocks(batch.column("__text")):
             out = base_counts(texts)
             sizes = texts.sizes
-            found = [ratios(texts.text(i), compressor, chunk_bytes, limits) for i in range(len(texts))]
+            found = [ratios(texts.text(i), compressor, chunk_bytes, limits, tail_bands, part_limits) for i in range(len(texts))]
             failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
             passed = [
-                r is not None and (b := _band(int(s), bands)).low <= r <= b.high and low + high <= most * chunks
-                for s, (r, chunks, low, high) in zip(sizes, found, strict=True)
+                r is not None
+                and (b := _band(int(s), bands)).low <= r <= b.high
+                and low + high <= most * chunks
+                and bad <= most * int(s)
+                and run <= most_run
+                for s, (r, chunks, low, high, bad, run) in zip(sizes, found, strict=True)
             ]
             columns = [batch.column(k).slice(texts.first, len(texts)) for k in keep]
             columns += [pa.array(out[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             columns += [pa.array(failed), pa.array(sizes, pa.int64()), pa.array([f[0] for f in found], pa.float64())]
-            columns += [pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)]
+            columns += [pa.array([f[i] for f in found], pa.int64()) for i in range(1, 6)]
             columns += [pa.array(~failed & np.array(passed, bool))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *options["names"]])
 
@@ -153,6 +194,9 @@ def compression_rules(
     chunk_limits: Limits = CHUNK_LIMITS,
     max_bad_chunks: float = MAX_BAD_CHUNKS,
     level: int = LEVEL,
+    tail_bands: tuple[Limits, ...] = TAIL_BANDS,
+    part_limits: Limits = PART_LIMITS,
+    max_bad_run: int = MAX_BAD_RUN,
 ) -> DataFrame:
     """Counts, ratios and verdict per row of ``docs``.
 
@@ -163,7 +207,7 @@ def compression_rules(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     options = {
         "bands": bands, "chunk_bytes": chunk_bytes, "chunk_limits": chunk_limits, "max_bad_chunks": max_bad_chunks,
-        "level": level, "names": names,
+        "level": level, "names": names, "tail_bands": tail_bands, "part_limits": part_limits, "max_bad_run": max_bad_run,
     }
     source = small_batches(docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")))
     schema = source.drop("__text").schema

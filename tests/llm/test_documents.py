@@ -58,6 +58,28 @@ def test_compression_bands_reject_extremes(spark):
     assert {r.doc_id: r.kept for r in got} == {1: False, 2: False, 3: True}
 
 
+def test_compression_finds_bad_passages_of_any_place(spark):
+    rng = random.Random(2)
+    prose = " ".join(rng.choices([f"{a}{b}{c}" for a in ("re", "con", "un") for b in ("ta", "li", "mo") for c in ("ing", "ed", "s", "ly")], k=8000))
+    words = prose.encode()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/!?=@#"
+    noise = lambda n: "".join(rng.choices(letters, k=n))
+    text = lambda start, n: words[start : start + n].decode()
+    prose_of = [text(0, n) for n in (600, 1500, 4095, 4096, 8190, 30000)]
+    bad = []
+    for middle in (noise, lambda n: "a" * n):
+        bad += [text(0, 4096) + middle(4094), text(0, 1200) + middle(1000), text(0, 700) + middle(1600) + text(700, 700)]
+        bad += [text(0, 20000 + i) + middle(2100) + text(20000, 16000) for i in (0, 100, 255, 300, 511)]
+    rows = [(i, t) for i, t in enumerate(prose_of + bad)]
+    got = {r.doc_id: r for r in compression.compression_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    base_ok = {i for i, r in got.items() if not r.base_failed}
+    assert base_ok >= set(range(len(prose_of))) | {len(prose_of)}
+    assert {i for i in base_ok if got[i].kept} == set(range(len(prose_of)))
+    # letters in one word do not fail the base rule, so the verdict is that of the ratios
+    assert len(base_ok) > len(prose_of) + 4
+    assert all(got[i].n_bad_bytes == got[i].bad_run == 0 for i in range(len(prose_of)))
+
+
 def test_token_counts_use_the_cache(docs, tmp_path):
     from tokenizers import Tokenizer
 
