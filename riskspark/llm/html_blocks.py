@@ -12,8 +12,15 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is no text of the page (fixed value).
-RAW = frozenset("script style template noscript textarea iframe svg canvas object audio video select title math".split())
+# Parts of formulas; they do not break a block either, but their texts stand apart (fixed value).
+MATH = frozenset(
+    "annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+# Elements whose content is no text of the page. Browsers read those in RAW as characters up to the end tag, or to the
+# end of the page without one; those in HIDDEN hold elements (fixed values).
+RAW = frozenset("script style noscript textarea iframe title".split())
+HIDDEN = frozenset("template svg canvas object audio video select".split())
 # Elements that end an open one of the same kind (fixed value: optional end tags).
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NOT_IN_P = frozenset(
@@ -52,10 +59,13 @@ def _names(attributes: str) -> tuple[str, ...]:
 def leaf_blocks(page: str | None) -> list[Block]:
     """The non-empty leaf blocks of a page in page order, character references decoded, white space collapsed.
 
-    Never fails: broken markup is read as browsers do in the common cases (unclosed tags, comments and quotes).
+    Never fails: broken markup is read as browsers do in the common cases (unclosed tags, comments and quotes). The
+    content of a ``HIDDEN`` element is left out where its end tag comes before its parent's; without that tag the element
+    counts as empty, so that no text behind it is lost. Only an unclosed ``RAW`` element or comment drops the rest.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    before: list[int] = []  # blocks found before each element of the stack
     texts: list[str] = []
     linked = 0
     in_link = 0
@@ -67,7 +77,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                out.append(Block(text, tuple(e for e in stack if e[0] not in INLINE), linked))
+                out.append(Block(text, tuple(e for e in stack if e[0] not in INLINE and e[0] not in HIDDEN), linked))
             texts.clear()
         linked = 0
 
@@ -93,8 +103,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag == "a":
             in_link = 0 if close else 1
-        if tag in INLINE:
-            if tag == "br":
+        if tag in INLINE or tag in MATH or tag == "math":
+            if tag == "br" or tag in MATH and not close:
                 texts.append(" ")
             elif tag == "label" and not close:
                 texts.append(" ")
@@ -103,14 +113,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    if tag in HIDDEN:
+                        del out[before[i] :]
+                    del stack[i:], before[i:]
                     in_link = 0
                     break
             continue
         ends = _CLOSES.get(tag, frozenset()) | ({"p"} if tag in _NOT_IN_P else set())
         while stack and stack[-1][0] in ends:
             stack.pop()
+            before.pop()
         if tag not in VOID and not attributes.endswith("/"):
             stack.append((tag, _names(attributes)))
+            before.append(len(out))
     flush()
     return out

@@ -68,6 +68,22 @@ def test_blocks_of_broken_markup():
     assert texts("<!-- never closed <p>a") == [] and texts(None) == [] and texts("<" * 2000) == ["<" * 2000]
 
 
+@pytest.mark.parametrize("tag", ["video", "audio", "object", "svg", "canvas", "select", "template"])
+def test_blocks_behind_unclosed_elements(tag):
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    assert texts(f"<body><p>a</p><{tag}><article><p>b</p></article></body>") == ["a", "b"]
+    assert texts(f"<div><{tag}></div><p>b</p><{tag}>no<b>no</b><p>no</p></{tag}>c") == ["b", "c"]
+    assert texts(f"<{tag}><p>b</p><{tag}>no</{tag}>c") == ["b", "c"]
+    assert texts(f"<div>a<{tag}>no<{tag}>no</{tag}>no</{tag}>b</div>") == ["a", "b"]
+    assert leaf_blocks(f"<main><{tag}><p>b")[0].path == leaf_blocks("<main><p>b")[0].path
+
+
+def test_blocks_keep_formulas():
+    page = "<article><p>so <math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow></math>, then</p><p>b</p></article>"
+    assert [b.text for b in leaf_blocks(page)] == ["so x = 1 2, then", "b"]
+    assert [b.text for b in leaf_blocks("<p>a <math><mi>x<p>b")] == ["a x", "b"]
+
+
 def test_language_fusion(pages, spark):
     docs = spark.createDataFrame([(i, TEXT[k] + f" {i}", k) for i in range(40) for k in TEXT] + [(None, None, None)], "doc_id long, text string, lang string")
     got = langid.identify(pages, langid.train(docs)).collect()
