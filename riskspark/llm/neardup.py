@@ -299,13 +299,17 @@ def near_duplicates(
     # Key without its lowest bit; that bit (own band or not) joins the node instead.
     keyed = small_batches(texts).mapInArrow(lambda rows: _keys(rows, k, num, den), "node long, keys array<long>")
     index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
-    # Keys with the same entries are the same group: their label is made of the entries.
-    over = "OVER (PARTITION BY key)"
-    held = index.selectExpr(
-        "key", "shiftright(entry, 1) AS node", "entry % 2 = 1 AS own", f"count(*) {over} AS size", f"min(entry) {over} AS low",
-        f"max(entry) {over} AS high", f"max(entry % 2) {over} AS any_own", f"sum(xxhash64(entry) & 1073741823) {over} AS mixed",
+    index = _stored(index, "keys")
+    # Keys with the same entries are the same group: their label is made of the entries. Aggregated before the shuffle and
+    # joined back, so that no task buffers all entries of a key.
+    groups = index.groupBy("key").agg(
+        F.expr("count(*) AS size"), F.expr("min(entry) AS low"), F.expr("max(entry) AS high"), F.expr("max(entry % 2) AS any_own"),
+        F.expr("sum(xxhash64(entry) & 1073741823) AS mixed"),
     ).where("shiftright(low, 1) < shiftright(high, 1) AND any_own = 1")
-    held = _stored(held.selectExpr("node", "own", "size", "xxhash64(size, low, high, mixed) AS key"), "shared-keys")
+    groups = groups.selectExpr("key", "size", "xxhash64(size, low, high, mixed) AS label")
+    held = index.join(groups, "key")
+    held = held.selectExpr("shiftright(entry, 1) AS node", "entry % 2 = 1 AS own", "size", "label AS key")
+    held = _stored(held, "shared-keys")
     spare = nodes.select("node", "spare_own", "spare_next")
     full = held.where(F.col("size") > HOT).groupBy("node", "own").count().join(spare, "node")
     full = full.where(F.col("count") > F.when(F.col("own"), F.col("spare_own")).otherwise(F.col("spare_next")))

@@ -192,6 +192,18 @@ def test_near_duplicates_of_groups_in_many_parts(spark, monkeypatch):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90, 100)
 
 
+def test_near_duplicates_group_keys_without_windows(docs, monkeypatch):
+    plans, stored = [], neardup._stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(neardup, "_stored", seen)
+    neardup.near_duplicates(docs).count()
+    assert plans and not [p for p in plans if "Window" in p]
+
+
 def test_folded_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for size in (1, 64, 65, 700, 1000):
