@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskspark.llm import compression, mixing, neardup, pieces, quality_fm
 from riskspark.session import scratch_path
@@ -26,11 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The document with the component's smallest identifier stays, and with it every document without words.
     """
-    found = neardup.near_duplicates(docs, k=5, num=8, den=10)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(stays, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
-    # repeated rows of one identifier are copies of each other
-    return kept.dropDuplicates(["doc_id", "text"])
+    return neardup.without_near_duplicates(docs, k=5, num=8, den=10)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

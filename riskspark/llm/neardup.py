@@ -280,6 +280,42 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row of ``docs``: the components of the links ``den * intersection
     >= num * union`` between sets of word ``k``-grams (A-Z lower-cased)."""
+    signed, named = _components_of_sets(docs, k, num, den, id_col, text)
+    least = named.groupBy("top").agg(F.min("least").alias("component_id"))
+    by_set = named.select("sid", "top").join(least, "top").select(F.col("sid").alias("set_id"), "component_id")
+    rows = signed.select("id", F.col("n").alias("n_shingles"), "sid")
+    out = rows.join(by_set, F.col("sid") == F.col("set_id"), "left")
+    return out.select("id", "n_shingles", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_duplicates(
+    docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` of each component of ``near_duplicates`` and every row without words.
+
+    The row with the smallest identifier stays, one with a null identifier only where all are null; of equal identifiers
+    the digest of the text decides.
+    """
+    signed, named = _components_of_sets(docs, k, num, den, id_col, text)
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("first")
+    of_set = signed.where("sid IS NOT NULL").groupBy("sid").agg(first)
+    of_top = of_set.join(named.select("sid", "top"), "sid").groupBy("top").agg(F.min("first").alias("first"))
+    stays = of_top.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"), F.lit(False).alias("__wordless"))
+    wordless = signed.where("sid IS NULL").select("id", "digest", F.lit(True)).distinct()
+    stays = _stored(stays.unionByName(wordless.toDF(*stays.columns)), "stays")
+    # Rows equal in identifier and text are copies of each other, unless they have no words.
+    rows = docs.withColumns({
+        "__key": F.col(id_col).cast("long"), "__text_digest": F.xxhash64(F.col(text).cast("string")), "__row": F.monotonically_increasing_id(),
+    })
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest"))
+    rows = rows.join(stays, same).withColumn("__row", F.when(F.col("__wordless"), F.col("__row")))
+    return rows.dropDuplicates(["__key", "__text_digest", "__row"]).select(*docs.columns)
+
+
+def _components_of_sets(
+    docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(id, digest, n, sid, ...)`` and the sets ``(sid, least, top, ...)``; sets with the same ``top`` are a component."""
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     source = small_batches(source.withColumn("digest", F.xxhash64("text")))
     signed = source.mapInArrow(
@@ -362,9 +398,4 @@ def near_duplicates(
     near = groups.mapInArrow(lambda rows: _near_in_group(rows, num, den), "a long, b long")
     labels = joined(near, labels, sifted=True)
 
-    named = nodes.join(labels, "node", "left").withColumn("top", F.coalesce("root", "node"))
-    least = named.groupBy("top").agg(F.min("least").alias("component_id"))
-    by_set = named.select("sid", "top").join(least, "top").select(F.col("sid").alias("set_id"), "component_id")
-    rows = signed.select("id", F.col("n").alias("n_shingles"), "sid")
-    out = rows.join(by_set, F.col("sid") == F.col("set_id"), "left")
-    return out.select("id", "n_shingles", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed, nodes.join(labels, "node", "left").withColumn("top", F.coalesce("root", "node"))

@@ -204,6 +204,26 @@ def test_near_duplicates_group_keys_without_windows(docs, monkeypatch):
     assert plans and not [p for p in plans if "Window" in p]
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    one, two, three = (" ".join(rng.choices(words, k=120)) for _ in range(3))
+    near = lambda text: text + " z"
+    rows = [
+        (7, one), (None, near(one)), (None, two), (None, near(two)), (5, three), (3, near(three)), (5, one + " y"),
+        (5, three), (None, None), (None, None), (None, ""), (9, " "), (9, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    of_two = [r for r in kept if r in ((None, two), (None, near(two)))]
+    assert len(of_two) == 1
+    assert kept == sorted([(5, one + " y"), (3, near(three)), *of_two, (None, None), (None, None), (None, ""), (9, " "), (9, " ")], key=repr)
+
+
 def test_folded_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for size in (1, 64, 65, 700, 1000):
