@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import compression, html_crf, langid, mips, mixing, neardup, pieces, quality_fm, tokens, warc
+from riskspark.llm import (
+    alignment, compression, contamination, html_crf, langid, mips, mixing, neardup, pieces, quality_fm, runs, tokens, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +97,60 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return html_crf.extract_main_text(pages, html_crf.train(pages), keep=["page_id", "url"])
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.periodic_runs(with_planted_periods(_table(spark, folder, "documents")), keep=["doc_id"], with_texts=False)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with a period written into one text of ten: by its CRC-32 ``h``, words from ``a`` on repeat the ``p`` words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    period = F.slice(words, a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    planted = F.array_join(F.concat(F.slice(words, 1, a), tail), " ")
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")))
+
+
+@_query
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_table(spark, folder, "documents"), a, b, keep=["doc_id"], with_links=False)
+
+
+@_query
+def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    hits = contamination.benchmark_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), keep=["doc_id"])
+    return hits.drop("spans", "items")
+
+
+ORACLES["op13_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), i AS (
+  SELECT DISTINCT item, least(len(w), 10) AS m, list_slice(w, k, k + least(len(w), 10) - 1) AS gram
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM b WHERE len(w) > 0)
+), s AS (
+  SELECT r, m, k, list_slice(w, k, k + m - 1) AS gram
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)
+), h AS (SELECT s.r, s.k, s.m, i.item FROM s JOIN i ON s.gram = i.gram),
+p AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + m)) AS q FROM h) GROUP BY r),
+t AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+"""
