@@ -14,6 +14,9 @@ How often an id pair is linked is counted over all texts. Of two linked tokens o
 two vocabularies fix which pairs can be linked at all, some 320,000 here: counts are an array of that many numbers, whatever
 the size of the corpus, and only this array is collected and broadcast.
 
+Both tokenizers start a token at a single space between other characters, so texts are cut there and each distinct part is
+encoded once and remembered by the worker.
+
 Scale: texts are encoded once; numbers of the links of each text are stored in the shared folder, counted per task, summed,
 and scored against the counts in a second pass over the stored numbers. Only counts per task are shuffled.
 
@@ -29,6 +32,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +45,11 @@ from riskspark.session import scratch_path
 
 LANE_BYTES = 1024
 BLOCK_BYTES = 1 << 20
-# A text is handed to the tokenizers in stretches of about this size.
-STRETCH = 1 << 17
-# A single space between two word characters: both tokenizers begin a new token with it.
-_SAFE_CUT = re.compile(r"(?<=\w) (?=\w)")
+# A single space without white space next to it: both tokenizers begin a new token with it, whatever stands there.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Bounds on what a worker remembers between blocks (memory, not results).
+REMEMBERED_WORDS = 200_000
+REMEMBERED_LENGTH = 64
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -78,6 +83,9 @@ class Pair:
                 self.spelled_b.append(b"" if self.b.is_control(i) else piece.replace("▁", " ").encode())
         self.size_a, self.size_b = (np.array([len(x) for x in s], np.int64) for s in (self.spelled_a, self.spelled_b))
         self.keys = self._pairs()
+        self.ids_a: dict[str, bytes] = {}
+        self.ids_b: dict[str, bytes] = {}
+        self.broken: set[str] = set()
         # Texts of "id" and what follows it: for A a comma, or a bar at the end of its group; for B a comma or semicolon.
         self.listed = [f"{i}{end}" for i in range(len(self.spelled_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.spelled_b)) for end in ",;"]
 
@@ -98,34 +106,52 @@ class Pair:
         """The number of each linked pair among all that can be linked."""
         return np.searchsorted(self.keys, a * len(self.spelled_b) + b).astype(np.int32)
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and of B of every text; none where the tokens do not spell a space and the text."""
-        parts = [stretches(t or "") for t in texts]
-        flat = [p for part in parts for p in part]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        ids_b = self.b.encode(flat, num_threads=1) if flat else []
-        out_a, out_b, at = [], [], 0
-        for text, part in zip(texts, parts, strict=True):
-            a = [i for ids in ids_a[at : at + len(part)] for i in ids]
-            b = [i for ids in ids_b[at : at + len(part)] for i in ids]
-            at += len(part)
-            wanted = b" " + (text or "").encode()
-            if not text or any(b"".join(map(s.__getitem__, ids)) != wanted for s, ids in ((self.spelled_a, a), (self.spelled_b, b))):
-                a, b = [], []
-            out_a.append(np.array(a, np.int64))
-            out_b.append(np.array(b, np.int64))
-        return out_a, out_b
-
-
-def stretches(text: str) -> list[str]:
-    """``text`` cut at single spaces between word characters, which are left out, into parts of ``STRETCH`` or a bit more."""
-    if len(text) <= STRETCH:
-        return [text] if text else []
-    parts, begin = [], 0
-    while cut := _SAFE_CUT.search(text, begin + STRETCH):
-        parts.append(text[begin : cut.start()])
-        begin = cut.end()
-    return [*parts, text[begin:]]
+    def _parts(self, texts: list[str | None]) -> list[list[str]]:
+        """Texts cut at every single space between other characters."""
+        parts = [t.split(" ") if t else [] for t in texts]
+        new = set().union(*parts).difference(self.ids_a)
+        # Parts between spaces are what is wanted, unless white space stands at the end of one.
+        unsafe = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        return [_CUT.split(t) if unsafe and not unsafe.isdisjoint(p) else p for t, p in zip(texts, parts, strict=True)]
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Remember the ids of all parts; which of them are not spelled as they are."""
+        if len(self.ids_a) > REMEMBERED_WORDS:
+            self.ids_a, self.ids_b, self.broken = {}, {}, set()
+        new = list(set().union(*parts).difference(self.ids_a))
+        if not new:
+            return
+        wanted = [b" " + p.encode() for p in new]
+        lengths, whole = np.fromiter(map(len, wanted), np.int64, len(wanted)), b"".join(wanted)
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+        found_b = self.b.encode(new, num_threads=1)
+        for known, spelled, size, found in ((self.ids_a, self.spelled_a, self.size_a, found_a), (self.ids_b, self.spelled_b, self.size_b, found_b)):
+            flat = np.fromiter(chain.from_iterable(found), np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            raw, at = flat.tobytes(), (4 * ends).tolist()
+            known.update(zip(new, [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+            spelt = np.diff(np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], ends])])
+            if (spelt != lengths).any() or b"".join(map(spelled.__getitem__, flat.tolist())) != whole:
+                self.broken.update(p for p, w, ids in zip(new, wanted, found, strict=True) if b"".join(map(spelled.__getitem__, ids)) != w)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of A and of B of every text, as 32-bit integers; none where the tokens do not spell a space and the text."""
+        parts = self._parts(texts)
+        self._learn(parts)
+        out = []
+        for known, spelled in ((self.ids_a, self.spelled_a), (self.ids_b, self.spelled_b)):
+            ids = [b"".join(map(known.__getitem__, p)) for p in parts]
+            for i, p in enumerate(parts) if self.broken else ():
+                if not self.broken.isdisjoint(p):
+                    whole = b"".join(map(spelled.__getitem__, np.frombuffer(ids[i], np.uint32).tolist()))
+                    if whole != b" " + texts[i].encode():
+                        ids[i] = b""
+            out.append(ids)
+        for long in [p for p in self.ids_a if len(p) > REMEMBERED_LENGTH]:
+            del self.ids_a[long], self.ids_b[long]
+            self.broken.discard(long)
+        one, two = ([i if j else b"" for i, j in zip(*pair, strict=True)] for pair in (out, out[::-1]))
+        return one, two
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +181,8 @@ class Aligned:
 
     def __init__(self, pair: Pair, texts: list[str | None]) -> None:
         ids_a, ids_b = pair.encode(texts)
-        self.at_a, self.at_b = (np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64) for ids in (ids_a, ids_b))
-        self.a, self.b = (np.concatenate([*ids, np.zeros(0, np.int64)]) for ids in (ids_a, ids_b))
+        self.at_a, self.at_b = (np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int64) for ids in (ids_a, ids_b))
+        self.a, self.b = (np.frombuffer(b"".join(ids), np.uint32).astype(np.int64) for ids in (ids_a, ids_b))
         self.ends, ends_b = np.cumsum(pair.size_a[self.a]), np.cumsum(pair.size_b[self.b])
         begins = np.concatenate([[0], self.ends])[self.at_a]  # byte where each text begins; the last is the end
         lanes = np.concatenate([np.arange(x, y, LANE_BYTES) for x, y in zip(begins[:-1], begins[1:], strict=True)] + [begins[-1:]])
