@@ -18,8 +18,11 @@ hold several components, all pairs across components are compared. A pair left o
 link that joins anything is lost. Candidates pass a filter on parity sketches with a bit or two for each member (Hamming
 distance), then the exact test on the sets.
 
-Scale: one text of each node is shuffled once, compressed, and its keys once. Keys with equal groups are one group.
-Groups are never collected whole; copies were merged before. All intermediate tables lie in the shared folder.
+Scale: one text of each node is shuffled once, compressed. Its keys are made twice: first the keys alone are counted, and those
+that several nodes hold are put in a Bloom filter of fixed size; then keys that the filter does not hold are dropped where they are
+made, before anything is stored or shuffled with its node. The filter only saves work: a key it lets through wrongly has one
+entry and goes when keys are counted with their nodes, and a corpus beyond its size shuffles more keys. Keys with equal groups are one
+group. Groups are never collected whole; copies were merged before. All intermediate tables lie in the shared folder.
 
 Defined results: a document without words (null or empty text) has no shingles and is linked with nothing; it is its
 own component. A null identifier takes part: its component is the smallest identifier reachable, null if there is none.
@@ -45,6 +48,7 @@ SKETCH_WORDS = 12  # default length of a sketch: 64 bits each
 HOT = 32  # sets that hold a key
 HUB_ROUNDS = 2
 PART_BYTES = 4 << 20  # sketches of a group's part, about
+FILTER_BLOCKS, FILTER_WORDS = 64, 1 << 16  # 32 MB: 64-bit words, two bits for each key
 
 
 @lru_cache(maxsize=8)
@@ -121,7 +125,9 @@ def chunk_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
     out = []
     bands = bands_of(len(members), num, den)
     for band in bands:
-        chunks, _ = chunk_count(band, num, den)
+        chunks, spare = chunk_count(band, num, den)
+        if chunks - spare == 1:  # only equal sets are alike there, and they are one node
+            continue
         h = mix(members, 1000 + band)
         at = (h % np.uint64(chunks)).astype(np.int64)
         bits = mix(h, 5)
@@ -132,15 +138,15 @@ def chunk_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
         place = np.arange(chunks, dtype=np.uint64) + np.uint64(band << 40)
         key = mix(value * np.uint64(0x9E3779B97F4A7C15) + mix(place, 6), 7)
         out.append((key & ~np.uint64(1)) | np.uint64(band == bands[0]))
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
 
 
-def _unpacked(column: list[bytes]) -> Iterator[Texts]:
-    """Compressed texts as blocks of about ``BLOCK_BYTES``; a longer text is a block of its own."""
+def _unpacked(column: list[bytes], block: int = BLOCK_BYTES) -> Iterator[Texts]:
+    """Compressed texts as blocks of about ``block`` bytes; a longer text is a block of its own."""
     unpack, at = zstandard.ZstdDecompressor(), 0
     while at < len(column):
         to, size = at, 0
-        while to < len(column) and (to == at or size + zstandard.frame_content_size(column[to]) <= BLOCK_BYTES):
+        while to < len(column) and (to == at or size + zstandard.frame_content_size(column[to]) <= block):
             size += zstandard.frame_content_size(column[to])
             to += 1
         texts = [unpack.decompress(x) for x in column[at:to]]
@@ -176,16 +182,56 @@ def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, packed], names=["text_id", "text_digest", "packed"])
 
 
-def _keys(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Chunk keys of the nodes."""
+def _keys(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int, held=None) -> Iterator[pa.RecordBatch]:
+    """Chunk keys of the nodes; with a filter ``held``, those that it holds."""
     for batch in rows:
-        for texts in _unpacked(batch.column("packed").to_pylist()):
+        for texts in _unpacked(batch.column("packed").to_pylist(), BLOCK_BYTES // 2):
             keys = [chunk_keys(s, num, den) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(texts, k)]
-            offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
+            lengths, flat = np.array(list(map(len, keys)), np.int64), np.concatenate(keys)
+            if held is not None:
+                word, mask = filter_place(flat >> 1)
+                good = held.value[word] & mask == mask
+                lengths = np.diff(np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(lengths)])])
+                flat = flat[good]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(texts.first, len(texts)), lists], names=["node", "keys"])
 
 
+def filter_place(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word of the filter that a key belongs to, and its two bits there. ``filter_columns`` is the same on columns."""
+    word = (key & (FILTER_BLOCKS * FILTER_WORDS - 1)).astype(np.int64)
+    mask = (np.int64(1) << (key >> 24 & 63)) | (np.int64(1) << (key >> 32 & 63))
+    return word, mask
+
+
+def filter_columns() -> tuple[str, str]:
+    one = "shiftleft(1L, CAST(shiftright(key, {}) & 63 AS INT))"
+    return f"key & {FILTER_BLOCKS * FILTER_WORDS - 1} AS word", f"{one.format(24)} | {one.format(32)} AS mask"
+
+
+def _filter_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the filter, packed in blocks; a block lies in one task."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in rows:
+        word, mask = (batch.column(c).to_numpy() for c in ("word", "mask"))
+        for block in np.unique(word // FILTER_WORDS).tolist():
+            at = word // FILTER_WORDS == block
+            blocks.setdefault(block, np.zeros(FILTER_WORDS, np.int64))[word[at] % FILTER_WORDS] = mask[at]
+    for block, words in blocks.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([words.tobytes()])], names=["block", "words"])
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of the keys that occur more than once in ``keys``; always the same size, whatever the number of keys."""
+    shared = keys.groupBy("key").count().where("count > 1")
+    words = shared.selectExpr(*filter_columns()).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
+    blocks = words.repartition(F.expr(f"word div {FILTER_WORDS}")).mapInArrow(_filter_blocks, "block long, words binary")
+    out = np.zeros(FILTER_BLOCKS * FILTER_WORDS, np.int64)
+    for block, packed in blocks.collect():
+        out[block * FILTER_WORDS : (block + 1) * FILTER_WORDS] = np.frombuffer(packed, np.int64)
+    return out
+
+
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes and the Hamming distance of the sketches allow the similarity."""
     distance = np.bitwise_count(a ^ b).sum(-1)
@@ -300,22 +346,30 @@ def without_near_duplicates(
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("first")
     of_set = signed.where("sid IS NOT NULL").groupBy("sid").agg(first)
     of_top = of_set.join(named.select("sid", "top"), "sid").groupBy("top").agg(F.min("first").alias("first"))
-    stays = of_top.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"), F.lit(False).alias("__wordless"))
-    wordless = signed.where("sid IS NULL").select("id", "digest", F.lit(True)).distinct()
-    stays = _stored(stays.unionByName(wordless.toDF(*stays.columns)), "stays")
-    # Rows equal in identifier and text are copies of each other, unless they have no words.
-    rows = docs.withColumns({
-        "__key": F.col(id_col).cast("long"), "__text_digest": F.xxhash64(F.col(text).cast("string")), "__row": F.monotonically_increasing_id(),
-    })
-    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest"))
-    rows = rows.join(stays, same).withColumn("__row", F.when(F.col("__wordless"), F.col("__row")))
-    return rows.dropDuplicates(["__key", "__text_digest", "__row"]).select(*docs.columns)
+    stays = of_top.select("first.id", "first.digest", F.lit(False).alias("wordless"))
+    wordless = signed.where("sid IS NULL").select("id", "digest", F.lit(True).alias("wordless")).distinct()
+    stays = _stored(stays.unionByName(wordless).withColumns(_named("id")).drop("id"), "stays")
+    # Rows equal in identifier and text are copies of each other, unless they have no words. Both steps need rows dealt by the
+    # same plain columns, so texts are shuffled once.
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs[text].cast("string")).alias("digest"),
+        F.monotonically_increasing_id().alias("place"), docs[id_col].cast("long").alias("id"),
+    )
+    rows = rows.withColumns(_named("id")).drop("id").join(stays, ["known", "number", "digest"])
+    rows = rows.withColumn("place", F.when(F.col("wordless"), F.col("place")))
+    return rows.dropDuplicates(["known", "number", "digest", "place"]).select("row.*")
+
+
+def _named(id_col: str) -> dict:
+    """An identifier as two columns without nulls."""
+    return {"known": F.col(id_col).isNotNull(), "number": F.coalesce(id_col, F.lit(0).cast("long"))}
 
 
 def _components_of_sets(
     docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
 ) -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, digest, n, sid, ...)`` and the sets ``(sid, least, top, ...)``; sets with the same ``top`` are a component."""
+    spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     source = small_batches(source.withColumn("digest", F.xxhash64("text")))
     signed = source.mapInArrow(
@@ -333,7 +387,10 @@ def _components_of_sets(
     texts = _stored(nodes.select("node", "id", "digest").join(packed, same).select("node", "packed"), "node-texts")
 
     # Key without its lowest bit; that bit (own band or not) joins the node instead.
-    keyed = small_batches(texts).mapInArrow(lambda rows: _keys(rows, k, num, den), "node long, keys array<long>")
+    small = small_batches(texts, "4m")
+    counted = small.mapInArrow(lambda rows: _keys(rows, k, num, den), "node long, keys array<long>")
+    held = spark.sparkContext.broadcast(_filter(counted.select(F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key")))
+    keyed = small.mapInArrow(lambda rows: _keys(rows, k, num, den, held), "node long, keys array<long>")
     index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
     index = _stored(index, "keys")
     # Keys with the same entries are the same group: their label is made of the entries. Aggregated before the shuffle and
