@@ -182,17 +182,26 @@ def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, packed], names=["text_id", "text_digest", "packed"])
 
 
-def _keys(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int, held=None) -> Iterator[pa.RecordBatch]:
-    """Chunk keys of the nodes; with a filter ``held``, those that it holds."""
+def _counted_keys(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Chunk keys of a block of nodes, without the lowest bit; each at most twice, as only whether it is shared matters."""
     for batch in rows:
-        for texts in _unpacked(batch.column("packed").to_pylist(), BLOCK_BYTES // 2):
+        for texts in _unpacked(batch.column("packed").to_pylist(), BLOCK_BYTES // 4):
+            keys = np.sort(np.concatenate([chunk_keys(s, num, den) for s in shingle_sets(texts, k) if len(s)] or [np.zeros(0, np.int64)]) >> 1)
+            third = np.concatenate([np.zeros(min(len(keys), 2), bool), keys[2:] == keys[:-2]])
+            flat = keys[~third]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=["keys"])
+
+
+def _keys(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int, held) -> Iterator[pa.RecordBatch]:
+    """Chunk keys of the nodes that the filter ``held`` holds."""
+    for batch in rows:
+        for texts in _unpacked(batch.column("packed").to_pylist(), BLOCK_BYTES // 4):
             keys = [chunk_keys(s, num, den) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(texts, k)]
-            lengths, flat = np.array(list(map(len, keys)), np.int64), np.concatenate(keys)
-            if held is not None:
-                word, mask = filter_place(flat >> 1)
-                good = held.value[word] & mask == mask
-                lengths = np.diff(np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(lengths)])])
-                flat = flat[good]
+            flat = np.concatenate(keys)
+            word, mask = filter_place(flat >> 1)
+            good = held.value[word] & mask == mask
+            lengths = np.diff(np.concatenate([[0], np.cumsum(good)])[np.cumsum([0, *map(len, keys)])])
+            flat = flat[good]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(texts.first, len(texts)), lists], names=["node", "keys"])
 
@@ -223,7 +232,8 @@ def _filter_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filter(keys: DataFrame) -> np.ndarray:
     """Bloom filter of the keys that occur more than once in ``keys``; always the same size, whatever the number of keys."""
-    shared = keys.groupBy("key").count().where("count > 1")
+    # Nearly all keys are distinct, so they are not aggregated before they are dealt out.
+    shared = keys.repartition("key").groupBy("key").count().where("count > 1")
     words = shared.selectExpr(*filter_columns()).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
     blocks = words.repartition(F.expr(f"word div {FILTER_WORDS}")).mapInArrow(_filter_blocks, "block long, words binary")
     out = np.zeros(FILTER_BLOCKS * FILTER_WORDS, np.int64)
@@ -388,8 +398,8 @@ def _components_of_sets(
 
     # Key without its lowest bit; that bit (own band or not) joins the node instead.
     small = small_batches(texts, "4m")
-    counted = small.mapInArrow(lambda rows: _keys(rows, k, num, den), "node long, keys array<long>")
-    held = spark.sparkContext.broadcast(_filter(counted.select(F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key")))
+    counted = small.mapInArrow(lambda rows: _counted_keys(rows, k, num, den), "keys array<long>")
+    held = spark.sparkContext.broadcast(_filter(counted.select(F.explode("keys").alias("key"))))
     keyed = small.mapInArrow(lambda rows: _keys(rows, k, num, den, held), "node long, keys array<long>")
     index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
     index = _stored(index, "keys")
