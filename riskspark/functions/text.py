@@ -96,3 +96,16 @@ def mask_gradle(text: Column) -> Column:
         ),
         "",
     )
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether a text is one whole JSON object; repeated names and ``NaN`` pass, single quotes and anything behind it do not.
+
+    A reader that stops behind the first value would take a text with a rest for whole. Inside two kinds of brackets only a
+    text that is exactly one value leaves both of them closed where they should be.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("\n]")), "array<string>", strict)
+    named = F.from_json(F.concat(F.lit('{"v":'), text, F.lit('\n,"end":1}')), "v string, end int", strict)
+    starts = F.ltrim(F.translate(text, "\t\r\n", "   ")).startswith("{")
+    return F.coalesce(starts & (F.size(listed) == 1) & (named.getField("end") == 1), F.lit(False))

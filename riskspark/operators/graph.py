@@ -40,6 +40,7 @@ class FileFacts:
     capabilities: DataFrame  # snapshot, file, capability rows
     dynamic: DataFrame  # files with dynamic module references
     unreadable: DataFrame  # files without text
+    manifests: DataFrame  # every package.json that is walked, with its parse state
 
 
 @dataclass
@@ -62,6 +63,7 @@ def file_facts(files: DataFrame) -> FileFacts:
         capabilities=cut(X.scan_capabilities(files.select(*SNAP, "path", "text"))),
         dynamic=X.dynamic_modules(files),
         unreadable=files.where(F.col("text").isNull()).select(*SNAP, "path"),
+        manifests=cut(X.manifest_states(files).join(walk.select(*SNAP, "path"), [*SNAP, "path"], "left_semi")),
     )
 
 
@@ -71,7 +73,9 @@ def file_facts(files: DataFrame) -> FileFacts:
 def node_budget(level: DataFrame, used: DataFrame, max_nodes: int | None) -> tuple[DataFrame, DataFrame | None]:
     """G8. Mark rows inside the node budget of their plan, and name the first row beyond it.
 
-    Only file rows take budget. Their first ``max_nodes`` per plan are found by a ranked limit that
+    ``used`` is the ledger: nodes each plan has been granted so far, its entry included. Seeds, the package scripts of each
+    round and the files of each level are ranked and granted in turn from this one budget. Of the rows only those with
+    status ``file`` take budget. Their first ``max_nodes`` per plan are found by a ranked limit that
     Spark applies before the shuffle, so a plan with any number of references does not gather.
     """
     if max_nodes is None:
@@ -105,6 +109,12 @@ def node_budget(level: DataFrame, used: DataFrame, max_nodes: int | None) -> tup
     return marked.drop("last_ord"), over
 
 
+def granted(used: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ledger after these rows have taken their budget."""
+    taken = rows.groupBy("plan_id").agg(F.count("*").alias("used"))
+    return cut(used.unionByName(taken).groupBy("plan_id").agg(F.sum("used").alias("used")))
+
+
 def depth_budget(level: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G7. Beyond the last level nothing is followed; each such reference is a depth doubt.
 
@@ -178,11 +188,7 @@ def expand_levels(
         visited = first.select("plan_id", "path") if visited is None else visited.unionByName(
             first.select("plan_id", "path")
         )
-        used = (
-            used.unionByName(nodes.groupBy("plan_id").agg(F.count("*").alias("used")))
-            .groupBy("plan_id")
-            .agg(F.sum("used").alias("used"))
-        )
+        used = granted(used, nodes)
         level = first.join(edges.where("kind <> 'compose'"), [*SNAP, "path"]).select(
             "plan_id",
             *SNAP,
@@ -244,11 +250,10 @@ def _text_of(group: Column, which: int) -> Column:
     )
 
 
-def _first_per(frame: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """First ``limit`` rows per key with their rank; pruned before the shuffle."""
-    return frame.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(
-        F.col("rank") <= limit
-    )
+def _first_per(frame: DataFrame, keys: list[str], order: list[str], limit: int | None) -> DataFrame:
+    """First ``limit`` rows per key with their rank, pruned before the shuffle; without a limit all of them."""
+    ranked = frame.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def _segments(plans: DataFrame) -> DataFrame:
@@ -287,7 +292,7 @@ def _build_requests(segments: DataFrame) -> DataFrame:
     )
 
 
-def _group_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int) -> DataFrame:
+def _group_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int | None) -> DataFrame:
     """Files of a group for each request. Only as many as a plan has nodes can matter."""
     grouped = exploded(walk.select(*SNAP, "path"), _seed_classes(F.col("path")), "group")
     grouped = _first_per(grouped, [*SNAP, "group"], ["path"], max_nodes)
@@ -362,7 +367,7 @@ def _java_requests(requests: DataFrame) -> DataFrame:
     ).withColumn("scoped", has_base | has_settings)
 
 
-def _build_src_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int) -> DataFrame:
+def _build_src_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int | None) -> DataFrame:
     """Build files below ``buildSrc`` of the project directory a Gradle command selects."""
     parts = F.split("path", "/")
     bases = F.transform(
@@ -378,7 +383,9 @@ def _build_src_seeds(requests: DataFrame, walk: DataFrame, max_nodes: int) -> Da
     )
 
 
-def seed_frontier(plans: DataFrame, facts: FileFacts, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def seed_frontier(
+    plans: DataFrame, facts: FileFacts, max_nodes: int | None = MAX_NODES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """G2. Where analysis of a command starts: ``(script seeds, file seeds, command seeds)``."""
     segments = cut(_segments(plans))
     requests = _build_requests(segments)
@@ -443,18 +450,43 @@ def seed_frontier(plans: DataFrame, facts: FileFacts, max_nodes: int = MAX_NODES
     return script_seeds, file_seeds, command_seeds
 
 
+# Doubts about files that could not be read or parsed.
+_MANIFEST_DOUBT = {"unreadable": "Could not read package.json.", "broken": "Could not parse package.json."}
+_ECOSYSTEM_DOUBT = "Could not read ecosystem file."
+
+
+def manifest_doubts(readers: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Doubts of commands that read every package.json of their snapshot (``plan_id``, snapshot, ``ord``), one for each that
+    could not be read or parsed: what it starts is unknown.
+
+    Only files that are not sound are joined, so sound snapshots multiply nothing.
+    """
+    detail = F.create_map(*[F.lit(x) for pair in _MANIFEST_DOUBT.items() for x in pair])
+    bad = manifests.where("state <> 'validated'").select(*SNAP, F.col("path").alias("file"), detail[F.col("state")].alias("detail"))
+    return readers.select("plan_id", *SNAP, "ord").join(bad, SNAP).select(
+        "plan_id", "ord", F.lit("SCRIPT_PARSE_UNCERTAIN").alias("rule_id"), "file", "detail"
+    )
+
+
+def manifest_readers(plans: DataFrame) -> DataFrame:
+    """Commands that look for scripts in every package.json: installs, and builds or tests that name a script."""
+    installs = plans.where("scope = 'dependency_install'").select("plan_id", *SNAP, F.array(F.lit(0)).alias("ord"))
+    requests = _build_requests(_segments(plans)).where("group = 'script'")
+    return installs.unionByName(requests.select("plan_id", *SNAP, F.array("seg").alias("ord")))
+
+
 def expand_commands(
-    rows: DataFrame, scripts: DataFrame, max_nodes: int = MAX_NODES
-) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    rows: DataFrame, facts: FileFacts, used: DataFrame, max_nodes: int | None = MAX_NODES
+) -> tuple[DataFrame | None, DataFrame | None, list[DataFrame], DataFrame]:
     """Unwrap nested commands and package scripts until only file targets are left.
 
-    Rounds follow how deep commands are wrapped, normally one or two. A script that calls itself
-    would only stop at the node budget, so a repeated script in a trail is reported as exactly that.
-    Returns ``(targets, script nodes, doubts)``.
+    Rounds follow how deep commands are wrapped, normally one or two. They end: unwrapping shortens a command, and a script
+    takes node budget and is followed once in a trail; one that calls itself would only stop at the node budget, so it is
+    reported as exactly that. Returns ``(targets, script nodes, doubts, ledger)``.
     """
-    by_name = _first_per(scripts, [*SNAP, "name"], ["path", "script_ord"], max_nodes)
+    by_name = _first_per(facts.scripts, [*SNAP, "name"], ["path", "script_ord"], max_nodes)
     targets, nodes, doubts = [], [], []
-    for _round in range(max_nodes):
+    while True:
         rows = cut(rows)
         if rows.isEmpty():
             break
@@ -482,9 +514,10 @@ def expand_commands(
             "plan_id", *SNAP, F.concat("ord", F.array("j")).alias("ord"), "parent_ord", "parent_file", "base_dir",
             F.col("segment").alias("command"), "reason", "trail",
         )
+        calls = parsed.where("kind = 'script'")
+        doubts.append(manifest_doubts(calls, facts.manifests))
         called = (
-            parsed.where("kind = 'script'")
-            .withColumnRenamed("target", "name")
+            calls.withColumnRenamed("target", "name")
             .join(by_name, [*SNAP, "name"])
             .withColumn("label", F.concat(F.col("path"), F.lit(" scripts."), F.col("name")))
             .withColumn("near", dirname(F.col("path")) == F.col("base_dir"))
@@ -497,24 +530,32 @@ def expand_commands(
                 F.col("path").alias("file"), F.col("label").alias("detail"),
             )
         )
-        fresh = called.where(~looped)
+        asked = called.where(~looped).select(
+            "plan_id", *SNAP, F.col("next_ord").alias("ord"), "parent_ord", F.col("parent_file").alias("caller"),
+            F.col("path").alias("parent_file"), F.col("label").alias("target"), F.lit("file").alias("status"), "command", "reason", "trail",
+        )
+        marked, over = node_budget(cut(asked), used, max_nodes)
+        if over is not None:
+            doubts.append(over)
+        fresh = cut(marked.where("admitted"))
+        used = granted(used, fresh)
         nodes.append(
             fresh.select(
-                "plan_id", *SNAP, F.col("next_ord").alias("ord"), "parent_ord", "parent_file",
-                F.col("path").alias("file"), "label", "command", "reason",
+                "plan_id", *SNAP, "ord", "parent_ord", F.col("caller").alias("parent_file"), F.col("parent_file").alias("file"),
+                F.col("target").alias("label"), "command", "reason",
             )
         )
         rows = nested.unionByName(
             fresh.select(
-                "plan_id", *SNAP, F.col("next_ord").alias("ord"), F.col("next_ord").alias("parent_ord"),
-                F.col("path").alias("parent_file"), dirname(F.col("path")).alias("base_dir"), "command",
+                "plan_id", *SNAP, "ord", F.col("ord").alias("parent_ord"), "parent_file",
+                dirname(F.col("parent_file")).alias("base_dir"), "command",
                 F.lit("package script invokes local script").alias("reason"),
-                F.concat("trail", F.array("label")).alias("trail"),
+                F.concat("trail", F.array("target")).alias("trail"),
             )
         )
     if not targets:
-        return None, None, doubts
-    return reduce(DataFrame.unionByName, targets), reduce(DataFrame.unionByName, nodes), doubts
+        return None, None, doubts, used
+    return reduce(DataFrame.unionByName, targets), reduce(DataFrame.unionByName, nodes), doubts, used
 
 
 def _node_id(ord_column: Column) -> Column:
@@ -556,7 +597,7 @@ def reach(
     scan_findings: DataFrame | None = None,
     selected: DataFrame | None = None,
     max_depth: int = MAX_CHAIN_DEPTH,
-    max_nodes: int = MAX_NODES,
+    max_nodes: int | None = MAX_NODES,
 ) -> Graph:
     """G1 for whole commands: seeds, command expansion, then the level loop.
 
@@ -590,10 +631,15 @@ def reach(
     marked, over = node_budget(seed_rows, used, max_nodes)
     seeds = cut(marked.where("admitted").drop("admitted"))
     doubts = [over] if over is not None else []
-    used = cut(
-        used.unionByName(seeds.groupBy("plan_id").agg(F.count("*").alias("used")))
-        .groupBy("plan_id")
-        .agg(F.sum("used").alias("used"))
+    used = granted(used, seeds)
+    doubts.append(manifest_doubts(manifest_readers(plans), facts.manifests))
+    ecosystem = seeds.where(F.col("group").isin(*[g for _prefix, groups in _ECOSYSTEM for g in groups]))
+    unread = ecosystem.select("plan_id", *SNAP, "ord", F.col("file").alias("path")).join(facts.unreadable, [*SNAP, "path"])
+    doubts.append(
+        unread.select(
+            "plan_id", "ord", F.lit("SCRIPT_PARSE_UNCERTAIN").alias("rule_id"), F.col("path").alias("file"),
+            F.lit(_ECOSYSTEM_DOUBT).alias("detail"),
+        )
     )
 
     # Commands to unwrap: the planned ones and the scripts of the seeds.
@@ -604,7 +650,7 @@ def reach(
             F.array("label").alias("trail"),
         )
     )
-    targets, script_nodes, command_doubts = expand_commands(rows, facts.scripts, max_nodes)
+    targets, script_nodes, command_doubts, used = expand_commands(rows, facts, used, max_nodes)
     doubts += command_doubts
 
     # First level: command targets, compose builds, and what Makefiles start.
@@ -630,11 +676,6 @@ def reach(
     if targets is not None:
         level = level.unionByName(X.resolve(targets, facts.index).select(*columns))
         script_nodes = cut(script_nodes)
-        used = cut(
-            used.unionByName(script_nodes.groupBy("plan_id").agg(F.count("*").alias("used")))
-            .groupBy("plan_id")
-            .agg(F.sum("used").alias("used"))
-        )
     makefiles = cut(
         seeds.where("group = 'make'").groupBy("plan_id", F.col("file").alias("path")).agg(F.min("ord").alias("ord"))
     )
@@ -717,18 +758,20 @@ def reach(
             F.lit("Could not read reachable file.").alias("detail"),
         )
     )
-    return Graph(nodes, edges, indirect.unionByName(capabilities), uncertainties(doubts))
+    return Graph(nodes, edges, indirect.unionByName(capabilities), uncertainties(doubts, max_nodes))
 
 
-def uncertainties(doubts: list[DataFrame]) -> DataFrame:
+def uncertainties(doubts: list[DataFrame], max_nodes: int | None = MAX_NODES) -> DataFrame:
     """G9. Doubts of all kinds with severity, reason and advice; the budget is reported once."""
     every = reduce(DataFrame.unionByName, [d.select(*DOUBT_COLUMNS) for d in doubts])
     once = every.where("rule_id = 'SCRIPT_NODE_BUDGET_EXCEEDED'").groupBy("plan_id").agg(
         F.min_by(F.struct(*DOUBT_COLUMNS[1:]), "ord").alias("d")
     )
     rows = every.where("rule_id <> 'SCRIPT_NODE_BUDGET_EXCEEDED'").unionByName(once.select("plan_id", "d.*"))
+    budget = f"({max_nodes}/{max_nodes})"
+    texts = [(rule, severity, prefix.replace("(100/100)", budget), advice) for rule, severity, prefix, advice in R.UNCERTAINTIES]
     dim = every.sparkSession.createDataFrame(
-        [tuple(row) for row in R.UNCERTAINTIES], "rule_id string, severity string, prefix string, recommendation string"
+        texts, "rule_id string, severity string, prefix string, recommendation string"
     )
     return rows.join(F.broadcast(dim), "rule_id").select(
         "plan_id", "ord", "rule_id", "severity", "file", F.concat("prefix", "detail").alias("reason"), "recommendation"

@@ -11,7 +11,7 @@ from riskspark.functions.paths import basename, collapse_dots, dirname, strip_qu
 from riskspark.functions.regex import jre
 from riskspark.functions.rows import numbered
 from riskspark.functions.targets import LINE_INTERPRETERS, SHELL_EXTENSIONS, local_reference
-from riskspark.functions.text import line_number, split_lines, truncate_evidence
+from riskspark.functions.text import is_json_object, line_number, split_lines, truncate_evidence
 from riskspark.operators.scan import explode_hits, with_lowered
 
 FILE = ["repo_id", "snapshot_id", "path"]
@@ -169,16 +169,26 @@ def dynamic_modules(files: DataFrame) -> DataFrame:
 
 
 def package_scripts(files: DataFrame) -> DataFrame:
-    """G6. Scripts of every package.json in document order, with whether they start a local file."""
+    """G6. Scripts of every package.json in document order, with whether they start a local file.
+
+    A file that is not one whole JSON object has none; ``manifest_states`` says so.
+    """
     scripts = F.map_entries(F.from_json("text", "scripts MAP<STRING,VARIANT>").getField("scripts"))
+    whole = F.when(is_json_object(F.col("text")), scripts)
     return (
-        numbered(files.where(basename(F.col("path")) == "package.json"), scripts, "script_ord", "s")
+        numbered(files.where(basename(F.col("path")) == "package.json"), whole, "script_ord", "s")
         .where(F.schema_of_variant("s.value") == "STRING")
         .select(*FILE, "script_ord", F.col("s.key").alias("name"), F.col("s.value").cast("string").alias("command"))
         .withColumn("indirect", local_reference(F.col("command")).isNotNull())
     )
 
 
+def manifest_states(files: DataFrame) -> DataFrame:
+    """Parse state of every package.json: ``validated``, ``broken``, or ``unreadable`` where there is no text (binary, too big)."""
+    state = F.when(F.col("text").isNull(), "unreadable").when(is_json_object(F.col("text")), "validated").otherwise("broken")
+    return files.where(basename(F.col("path")) == "package.json").select(*FILE, state.alias("state"))
+
+
 def file_index(files: DataFrame) -> DataFrame:
     """Paths that exist, with whether they are links."""
     link = (F.col("mode") == "120000") if "mode" in files.columns else F.lit(False)

@@ -113,9 +113,14 @@ def assess(
     origins: DataFrame | None = None,
     matrix: DataFrame | None = None,
     marker: str = FILES.FIXTURE_MARKER,
+    max_depth: int = FILES.MAX_CHAIN_DEPTH,
+    max_nodes: int | None = FILES.MAX_NODES,
 ) -> Assessment:
     """Analyse every command against the snapshot it is planned in.
 
+    ``max_depth`` and ``max_nodes`` bound how far a command is followed; what lies beyond is reported as a doubt. ``None`` lifts
+    the bound on nodes.
+
     Texts are read by map-side projections; what is shuffled is findings, references and paths.
     Repository findings are never multiplied by commands: verdicts join profiles by rule.
     """
@@ -127,7 +132,7 @@ def assess(
     general, java = _selected_findings(plans, text)
     java = cut(java)
     facts = G.file_facts(text)
-    graph = G.reach(plans, facts, repo_findings, java)
+    graph = G.reach(plans, facts, repo_findings, java, max_depth, max_nodes)
     graph = G.Graph(*[cut(f) for f in (graph.nodes, graph.edges, graph.capabilities, graph.uncertainties)])
 
     command_rows = C.scan_commands(plans.select("plan_id", "command"))

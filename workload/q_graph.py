@@ -102,6 +102,35 @@ def g7(t: Tables):
     return cut_off.where("rule_id = 'SCRIPT_CHAIN_DEPTH_EXCEEDED'").groupBy("plan_id", "file").agg(F.count("*").alias("cut"))
 
 
+@query("g8_script_budget", f"""
+  WITH nested AS (SELECT r_name AS plan_id, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS place
+                  FROM region JOIN nation ON n_regionkey = r_regionkey),
+  spent AS (SELECT plan_id, 1 + count(*) FILTER (place <= 3) AS used FROM nested GROUP BY plan_id)
+  SELECT n.plan_id, 'script' AS kind, 'nation/' || n_nationkey AS target, place <= 3 AS admitted FROM nested n
+  UNION ALL
+  SELECT plan_id, 'file', target, place <= 20 - used FROM (
+    SELECT r_name AS plan_id, 'customer/' || c_custkey AS target,
+           row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey, c_custkey) AS place
+    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey) JOIN spent USING (plan_id)""")
+def g8_scripts(t: Tables):
+    """One ledger: nations as scripts of a plan limited to four nodes in their round, then its customers under a budget of 20."""
+    nations = t.given("region").join(t.given("nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    columns = [F.col("r_name").alias("plan_id"), F.lit("file").alias("status"), F.lit("region").alias("parent_file")]
+    scripts = nations.select(
+        *columns, F.array(F.col("n_nationkey").cast("int")).alias("ord"), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("target")
+    )
+    first, _over = G.node_budget(scripts, _used(t), 4)
+    used = G.granted(_used(t), first.where("admitted"))
+    customers = nations.join(t.given("customer"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        *columns, F.array(F.col("n_nationkey").cast("int"), F.col("c_custkey").cast("int")).alias("ord"),
+        F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("target"),
+    )
+    second, _over = G.node_budget(customers, used, 20)
+    return reduce(DataFrame.unionByName, [
+        d.select("plan_id", F.lit(kind).alias("kind"), "target", "admitted") for kind, d in (("script", first), ("file", second))
+    ])
+
+
 @query("g8_node_budget", """
   SELECT plan_id, target, place <= 93 AS admitted FROM (
     SELECT r_name AS plan_id, 'customer/' || c_custkey AS target,
@@ -292,6 +321,22 @@ def g1(t: Tables):
     return per_command(t, analysis(t).graph.nodes).select("command_id", "node_id", "type", "label", "language", "depth")
 
 
+@query("g9_manifest_states", f"""
+  SELECT repo_id, path, CASE WHEN json_valid(text) THEN 'validated' ELSE 'broken' END AS state FROM files WHERE {NAME} = 'package.json'""")
+def g9_states(t: Tables):
+    return X.manifest_states(t.files).select("repo_id", "path", "state")
+
+
+@query("g9_manifest_doubts", f"""
+  SELECT DISTINCT c.repo_id, c.command, f.path AS file, 'Could not parse package.json.' AS detail FROM commands c JOIN files f ON f.repo_id = c.repo_id
+  WHERE {NAME.replace("path", "f.path")} = 'package.json' AND NOT json_valid(f.text) AND NOT regexp_matches(f.path, '^(node_modules|fixtures)/')
+    AND (c.command IN ('npm install', 'pnpm install', 'yarn install', 'bundle install', 'pip install .', 'npm run build', 'npm test', 'cd app && npm ci; ls')
+         OR c.command = 'uv sync || poetry install')""")
+def g9_doubts(t: Tables):
+    doubts = G.manifest_doubts(G.manifest_readers(plans(t)), facts(t).manifests)
+    return doubts.join(plans(t).select("plan_id", "repo_id", "command"), "plan_id").select("repo_id", "command", "file", "detail").distinct()
+
+
 @query("g9_uncertainties")
 def g9(t: Tables):
     return per_command(t, analysis(t).graph.uncertainties).select("command_id", "rule_id", "severity", "file", "reason")
