@@ -403,6 +403,7 @@ def _components_of_sets(
     keyed = small.mapInArrow(lambda rows: _keys(rows, k, num, den, held), "node long, keys array<long>")
     index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
     index = _stored(index, "keys")
+    held.destroy()  # not needed again: the table is in the shared folder
     # Keys with the same entries are the same group: their label is made of the entries. Aggregated before the shuffle and
     # joined back, so that no task buffers all entries of a key.
     groups = index.groupBy("key").agg(
