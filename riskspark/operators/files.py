@@ -6,7 +6,9 @@ import hashlib
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,18 +122,29 @@ def union_files(*frames: DataFrame) -> DataFrame:
 
 
 def _running_digests(rows):
-    """SHA-256 of the lines of each snapshot, which arrive together and in order; one hash at a time is held."""
+    """SHA-256 of the lines of each snapshot, which arrive together and in order; one hash at a time is held.
+
+    The lines of a snapshot in a batch are joined and hashed in one step.
+    """
     names = [*SNAPSHOT, "fingerprint"]
-    key, digest = None, None
+    key, digest, first = None, None, True
     for batch in rows:
-        out = []
-        for *found, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        out, n = [], batch.num_rows
+        if not n:
+            continue
+        # Where the snapshot changes between two rows: numbers of both columns, null being one more value.
+        numbers = [pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+        changes = np.flatnonzero((numbers[0][1:] != numbers[0][:-1]) | (numbers[1][1:] != numbers[1][:-1])) + 1
+        bounds = [0, *changes.tolist(), n]
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            found = [batch.column(i)[begin].as_py() for i in range(2)]
             if digest is None or found != key:
                 if digest is not None:
                     out.append((*key, f"sha256:{digest.hexdigest()}"))
                 key, digest, first = found, hashlib.sha256(), True
-            if line is not None:
-                digest.update((line if first else "\n" + line).encode())
+            lines = batch.column(2).slice(begin, end - begin).drop_null().to_pylist()
+            if lines:
+                digest.update((("" if first else "\n") + "\n".join(lines)).encode())
                 first = False
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=names)
@@ -139,26 +152,33 @@ def _running_digests(rows):
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (*key, f"sha256:{digest.hexdigest()}")], names=names)
 
 
+def digest_lines(files: DataFrame) -> DataFrame:
+    """Snapshot, path and ``path:digest`` of every file: contents are hashed where they are read."""
+    return files.select(
+        *[F.col(k).cast("string") for k in SNAPSHOT], "path",
+        F.concat(F.col("path"), F.lit(":"), content_digest(F.col("content"))).alias("line"),
+    )
+
+
+def fingerprint_of(lines: DataFrame) -> DataFrame:
+    """SHA-256 over the ordered lines of each snapshot. They come to one task in order and update one running hash, so a
+    snapshot of any size takes constant memory."""
+    ordered = lines.repartition(*SNAPSHOT).sortWithinPartitions(*SNAPSHOT, "path", "line").select(*SNAPSHOT, "line")
+    schema = ", ".join(f"{c} string" for c in (*SNAPSHOT, "fingerprint"))
+    return ordered.mapInArrow(_running_digests, schema)
+
+
 def fingerprint(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """A10. SHA-256 over the ordered ``path:digest`` lines of each snapshot.
 
-    Contents are hashed before the shuffle; the short lines of a snapshot come to one task in order and update one
-    running hash, so a snapshot of any size takes constant memory. With ``max_files``, larger snapshots are reported
-    with ``limit-exceeded`` instead.
+    With ``max_files``, larger snapshots are reported with ``limit-exceeded`` instead.
     """
-    lines = files.select(
-        *[F.col(k).cast("string") for k in SNAPSHOT],
-        "path",
-        F.concat(F.col("path"), F.lit(":"), content_digest(F.col("content"))).alias("line"),
-    )
+    lines = digest_lines(files)
     over = None
     if max_files is not None:
         sizes = lines.groupBy(*SNAPSHOT).agg(F.count("*").alias("files")).where(F.col("files") > max_files)
         over, lines = sizes.select(*SNAPSHOT), lines.join(sizes, SNAPSHOT, "left_anti")
-    ordered = lines.repartition(*SNAPSHOT).sortWithinPartitions(*SNAPSHOT, "path", "line").select(*SNAPSHOT, "line")
-    schema = ", ".join(f"{c} string" for c in (*SNAPSHOT, "fingerprint"))
-    done = ordered.mapInArrow(lambda rows: _running_digests(rows), schema)
-    done = done.withColumn("error_code", F.lit(None).cast("string"))
+    done = fingerprint_of(lines).withColumn("error_code", F.lit(None).cast("string"))
     if over is None:
         return done
     refused = over.withColumn("fingerprint", F.lit(None).cast("string")).withColumn("error_code", F.lit("limit-exceeded"))

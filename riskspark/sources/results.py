@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.schemas import RESULT_KEY
@@ -23,27 +24,39 @@ def _bucket() -> Column:
 
 
 def latest_per_key(results: DataFrame) -> DataFrame:
-    """W4 without a lifetime: newest entry of each key, by partial aggregation."""
+    """W4 without a lifetime: newest entry of each key, by partial aggregation.
+
+    Of entries with the same time the content decides, so the choice does not depend on the order of rows.
+    """
     rest = [c for c in results.columns if c not in RESULT_KEY]
-    newest = results.groupBy(*RESULT_KEY).agg(F.max_by(F.struct(*rest), "created_at").alias("r"))
+    newest = results.groupBy(*RESULT_KEY).agg(
+        F.max_by(F.struct(*rest), F.struct("created_at", F.xxhash64(*[c for c in rest if c != "bucket"]))).alias("r")
+    )
     return newest.select(*RESULT_KEY, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*results.columns)
 
 
+def read_scan_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored results; ``None`` where nothing has been stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        # No folder, or one without a file: what was written so far held nothing that may be reused.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def write_scan_results(results: DataFrame, path: str) -> None:
     """S8. Keep ALLOW and WARN results, replacing entries with the same key.
 
     The table is partitioned by a hash of the key; only partitions that receive results are read,
     merged and overwritten.
     """
-    spark = results.sparkSession
     fresh = cut(results.where(F.col("decision").isin(*REUSABLE)).withColumn("bucket", _bucket()))
     touched = [row.bucket for row in fresh.select("bucket").distinct().collect()]  # at most BUCKETS rows
-    try:
-        stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched))
-        fresh = cut(fresh.unionByName(stored))
-    except Exception as error:  # the first write finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    stored = read_scan_results(results.sparkSession, path)
+    if stored is not None:
+        fresh = cut(fresh.unionByName(stored.where(F.col("bucket").isin(touched)).select(*fresh.columns)))
     merged = latest_per_key(fresh)
     (
         merged.repartition("bucket")

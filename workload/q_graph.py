@@ -11,9 +11,12 @@ from riskspark.operators import commands as C
 from riskspark.operators import graph as G
 from riskspark.operators import reach as X
 from riskspark.operators import scan as S
+from riskspark.catalogue.files import CRITICAL_BASENAMES
 from riskspark.plans.assess import assess
+from riskspark.plans.incremental import assess_incremental, plan_fingerprints
+from riskspark.session import scratch_path
 from workload.q_policy import per_command, plans
-from workload.q_rules import EXT, NAME, q
+from workload.q_rules import EXT, NAME, in_list, q
 from workload.registry import Tables, define, query
 
 SNAP = ["repo_id", "snapshot_id"]
@@ -384,6 +387,37 @@ def verdict_rows(t: Tables):
     )
 
 
+_LINE = "f.path || ':' || sha256(f.text)"
+_CRITICAL = (
+    f"({NAME} IN {in_list(CRITICAL_BASENAMES)} OR regexp_matches(path, '^(\\.github/workflows/|\\.cursor/rules|scripts/|bin/|tools/|\\.mcp/|\\.cargo/|gradle/|buildSrc/)')"
+    " OR regexp_matches(path, '\\.(go|gemspec)$') OR regexp_matches(path, '^docs/.*\\.(md|markdown|html|htm)$'))"
+    " AND NOT regexp_matches(path, '^(node_modules|fixtures)/')"
+)
+
+
+@query("a10_plan_fingerprints", f"""
+  WITH base AS (SELECT repo_id, 'sha256:' || sha256(string_agg({_LINE}, chr(10) ORDER BY path)) AS fp FROM files f WHERE {_CRITICAL} GROUP BY repo_id)
+  SELECT DISTINCT c.repo_id, c.command, CASE WHEN c.command = 'node setup.js' AND s.text IS NOT NULL
+    THEN 'sha256:' || sha256(coalesce(b.fp, 'sha256:' || sha256('')) || chr(10) || 'setup.js:' || sha256(s.text)) ELSE coalesce(b.fp, 'sha256:' || sha256('')) END AS fingerprint
+  FROM commands c LEFT JOIN base b ON b.repo_id = c.repo_id LEFT JOIN files s ON s.repo_id = c.repo_id AND s.path = 'setup.js'""")
+def a10_plans(t: Tables):
+    found = plan_fingerprints(t.raw_files, plans(t)).join(plans(t).select("plan_id", "repo_id", "command"), "plan_id")
+    return found.select("repo_id", "command", F.col("critical_fingerprint").alias("fingerprint"))
+
+
+@query("assess_incremental")
+def incremental(t: Tables):
+    """A first run stores its results; then one repository in three has another README, and a second run scans what that opens."""
+    store, at = scratch_path(t.spark, "incremental"), F.lit("2024-01-15 00:00:00").cast("timestamp")
+    known = t.files.select(*SNAP).distinct().withColumn("head_commit", F.lit(None).cast("string"))
+    assess_incremental(t.raw_files, t.commands, known, store, at, t.origins)
+    number = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("long")
+    changed = (F.col("path") == "README.md") & (number % 3 == 1)
+    files = t.raw_files.withColumn("content", F.when(changed, F.encode(F.concat(F.lit("new "), "path"), "UTF-8")).otherwise(F.col("content")))
+    second = assess_incremental(files, t.commands, known, store, at, t.origins)
+    return second.per_command(t.commands).select("command_id", "repo_id", "command", "decision", "risk_score", "used_scan_cache")
+
+
 @query("a18_assemble_report")
 def a18(t: Tables):
     rows = analysis(t).reports()
