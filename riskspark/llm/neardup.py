@@ -48,7 +48,7 @@ SKETCH_WORDS = 12  # default length of a sketch: 64 bits each
 HOT = 32  # sets that hold a key
 HUB_ROUNDS = 2
 PART_BYTES = 4 << 20  # sketches of a group's part, about
-FILTER_BLOCKS, FILTER_WORDS = 64, 1 << 16  # 32 MB: 64-bit words, two bits for each key
+FILTER_BLOCKS, FILTER_WORDS = 16, 1 << 16  # 8 MB: 64-bit words, two bits for each key
 
 
 @lru_cache(maxsize=8)
@@ -242,6 +242,19 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _shared_keys(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(key, entry)`` of all keys that several nodes may hold, stored. A key is without its lowest bit; that bit (own band or
+    not) joins the node in the entry."""
+    small = small_batches(texts, "4m")
+    counted = small.mapInArrow(lambda rows: _counted_keys(rows, k, num, den), "keys array<long>")
+    held = texts.sparkSession.sparkContext.broadcast(_filter(counted.select(F.explode("keys").alias("key"))))
+    keyed = small.mapInArrow(lambda rows: _keys(rows, k, num, den, held), "node long, keys array<long>")
+    index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
+    index = _stored(index, "keys")
+    held.destroy()  # not needed again: the table is in the shared folder
+    return index
+
+
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes and the Hamming distance of the sketches allow the similarity."""
     distance = np.bitwise_count(a ^ b).sum(-1)
@@ -379,7 +392,6 @@ def _components_of_sets(
     docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
 ) -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, digest, n, sid, ...)`` and the sets ``(sid, least, top, ...)``; sets with the same ``top`` are a component."""
-    spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     source = small_batches(source.withColumn("digest", F.xxhash64("text")))
     signed = source.mapInArrow(
@@ -396,14 +408,7 @@ def _components_of_sets(
     same = F.col("id").eqNullSafe(F.col("text_id")) & (F.col("digest") == F.col("text_digest"))
     texts = _stored(nodes.select("node", "id", "digest").join(packed, same).select("node", "packed"), "node-texts")
 
-    # Key without its lowest bit; that bit (own band or not) joins the node instead.
-    small = small_batches(texts, "4m")
-    counted = small.mapInArrow(lambda rows: _counted_keys(rows, k, num, den), "keys array<long>")
-    held = spark.sparkContext.broadcast(_filter(counted.select(F.explode("keys").alias("key"))))
-    keyed = small.mapInArrow(lambda rows: _keys(rows, k, num, den, held), "node long, keys array<long>")
-    index = keyed.select("node", F.explode("keys").alias("key")).selectExpr("shiftright(key, 1) AS key", "node * 2 + (key & 1) AS entry")
-    index = _stored(index, "keys")
-    held.destroy()  # not needed again: the table is in the shared folder
+    index = _shared_keys(texts, k, num, den)
     # Keys with the same entries are the same group: their label is made of the entries. Aggregated before the shuffle and
     # joined back, so that no task buffers all entries of a key.
     groups = index.groupBy("key").agg(
