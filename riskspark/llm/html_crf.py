@@ -6,10 +6,13 @@ Weights are fitted by AdaGrad on the log-likelihood of labelled pages (forward-b
 Viterbi, and the blocks labelled main are joined.
 
 Labelled pages come from the given ones. A block's label follows from sectioning markup where the page has it:
-inside ``article`` or ``main`` and in no ``nav``, ``aside``, ``footer``, ``form`` and so on. As such markup is not on
-every page, the labelled pages' texts are also poured into layouts drawn by rule (``layout``): content and
-surroundings in elements with usual class names, with the labels known. At most ``max_pages`` pages, those whose
-address hashes lowest, are taken; the driver gets only these.
+inside ``article`` or ``main`` and, below it, in no ``nav``, ``aside``, ``footer``, ``form`` and so on and in nothing
+named like one. A ``header`` or ``figure`` of the article is part of it. As such markup is not on every page, the
+labelled pages' texts are also poured into layouts drawn by rule (``layout``): content (paragraphs, lists, tables,
+preformatted text, captions, titles in a header) and surroundings in elements with usual class names, with the labels
+known. What is around the article or main element has features of its own, and names of ``html`` and ``body`` have
+none: they say what a page has, not what a block is. At most ``max_pages`` distinct pages, those whose address hashes
+lowest, are taken: hashes are picked first, and the driver gets the texts of the picked pages only.
 
 Defined results: null or empty html has an empty text; a page without main blocks too; broken markup is read as far
 as it goes. Equal rows get equal results. Without any page to learn from, blocks inside ``article`` or ``main`` count.
@@ -32,7 +35,9 @@ from riskspark.llm.textbytes import small_batches
 
 BUCKETS = 1 << 14
 CONTENT_TAGS = frozenset(["article", "main"])
-OTHER_TAGS = frozenset("nav aside footer header form menu dialog figure button fieldset".split())
+OTHER_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
+# Main text inside an article or main element, something else outside of one.
+EITHER_TAGS = frozenset(["header", "figure"])
 
 # Usual names of parts of a page, for the layouts (fixed values).
 CONTENT_NAMES = (
@@ -52,6 +57,20 @@ COMMENT_NAMES = (
 )
 
 
+# Elements of main text in the layouts, as often as paragraphs; every entry is drawn alike.
+SHAPES = (
+    ("p",), ("p",), ("p",), ("p",), ("div",), ("blockquote", "p"), ("ul", "li"), ("ul", "li"), ("ol", "li"), ("ul", "li", "p"), ("pre",), ("pre",),
+    ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("table", "thead", "tr", "th"), ("dl", "dd"), ("dl", "dd"), ("figure", "figcaption"),
+    ("figure", "figcaption"), ("figure", "pre"), ("h2",), ("h3",), ("section", "h2"), ("details", "summary"),
+)
+HEADER_NAMES = ((), (), ("entry", "header"), ("post", "header"), ("header",), ("article", "title"))
+# Words in names of elements around the article that only say what the page has.
+PAGE_NAMES = (
+    "has sidebar", "header fixed", "with sidebar", "single post", "site content", "home page", "no sidebar", "main wrapper", "page single",
+    "sidebar right", "footer sticky", "nav open", "layout", "menu closed", "content area", "search enabled",
+)
+
+
 @dataclass(frozen=True)
 class Crf:
     weights: np.ndarray  # bucket x label
@@ -63,18 +82,51 @@ def _bucket(*parts: object) -> int:
     return zlib.crc32("\t".join(map(str, parts)).encode()) % BUCKETS
 
 
+Path = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def split_path(path: Path) -> tuple[Path, Path]:
+    """The elements around the article or main element of a block, and that element with all below it.
+
+    That is the outermost ``article`` (one inside another is a comment or the like) or else the innermost ``main``.
+    Without either the second part is empty. Names of ``html`` and ``body`` are left out.
+    """
+    path = tuple((t, ()) if t in ("html", "body") else (t, names) for t, names in path)
+    tags = [t for t, _ in path]
+    if "article" in tags:
+        at = tags.index("article")
+    elif "main" in tags:
+        at = len(tags) - 1 - tags[::-1].index("main")
+    else:
+        return path, ()
+    return path[:at], path[at:]
+
+
+def _markup(path: Path) -> list[int]:
+    around, inside = split_path(path)
+    out = []
+    for place, part in (("around", around), ("", inside)) if inside else (("", around),):
+        out += [_bucket(place + "tag", t) for t in {t for t, _ in part}]
+        out += [_bucket(place + "name", n) for n in {n for _, names in part for n in names}]
+    part = inside or around
+    out += [_bucket("near", n) for n in next((names for _, names in reversed(part) if names), ())]
+    # a header or figure is read with the names around it
+    named: tuple[str, ...] = ()
+    for tag, names in part:
+        if tag in EITHER_TAGS:
+            out += [_bucket("under", bool(inside), tag, n) for n in named or ("",)]
+        named = names or named
+    return [*out, _bucket("leaf", bool(inside), *(t for t, _ in part[-1:])), _bucket("pair", *(t for t, _ in part[-2:]))]
+
+
 def block_features(blocks: list[Block]) -> list[list[int]]:
     """Hashed features of every block of a page."""
     out = []
-    cached: dict[tuple, list[int]] = {}
+    cached: dict[Path, list[int]] = {}
     for i, block in enumerate(blocks):
         markup = cached.get(block.path)
         if markup is None:
-            markup = [_bucket("tag", t) for t in {t for t, _ in block.path}]
-            markup += [_bucket("name", n) for n in {n for _, names in block.path for n in names}]
-            markup += [_bucket("near", n) for n in next((names for _, names in reversed(block.path) if names), ())]
-            markup += [_bucket("leaf", *(t for t, _ in block.path[-1:])), _bucket("pair", *(t for t, _ in block.path[-2:]))]
-            cached[block.path] = markup
+            markup = cached[block.path] = _markup(block.path)
         text = block.text
         words = text.count(" ") + 1
         share = min(block.linked, len(text)) / len(text)
@@ -89,16 +141,19 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
 
 
 def markup_labels(blocks: list[Block]) -> list[int]:
-    """1 for blocks in an article or main element and in no part of another kind inside the page."""
+    """1 for blocks in an article or main element that is in no part of another kind, nor are they inside it."""
     def label(block: Block) -> int:
-        tags = {t for t, _ in block.path}
-        names = {n for _, each in block.path for n in each}
-        return int(bool(tags & CONTENT_TAGS) and not tags & OTHER_TAGS and not names & _OUTSIDE)
+        around, inside = split_path(block.path)
+        if not inside:
+            return 0
+        names = {n for _, each in inside[1:] for n in each} | ({n for n in inside[0][1]} & _COMMENTS)
+        return int(not {t for t, _ in (*around, *inside)} & OTHER_TAGS and not names & _OUTSIDE)
 
     return [label(b) for b in blocks]
 
 
-_OUTSIDE = frozenset(w for n in (*OTHER_NAMES, *COMMENT_NAMES) for w in n.split()) - {"body", "list", "main"}
+_OUTSIDE = frozenset(w for n in (*OTHER_NAMES, *COMMENT_NAMES) for w in n.split()) - {"body", "list", "main", "header"}
+_COMMENTS = frozenset(w for n in COMMENT_NAMES for w in n.split()) - {"body", "list"}
 
 
 def layout(content: list[str], other: list[str], rng: random.Random) -> list[tuple[Block, int]]:
@@ -106,18 +161,20 @@ def layout(content: list[str], other: list[str], rng: random.Random) -> list[tup
     out: list[tuple[Block, int]] = []
     base = [("html", ()), ("body", ())]
     for _ in range(rng.randint(0, 2)):
-        base.append(("div", tuple(rng.choice(("wrapper", "container", "page", "site", "row", "col", "inner", "outer", "layout")).split())))
+        base.append(("div", tuple(rng.choice(("wrapper", "container", "page", "site", "row", "col", "inner", "outer", "layout", rng.choice(PAGE_NAMES))).split())))
     holder = rng.choice(
         [("article", ()), ("main", ()), *[(rng.choice(("div", "div", "section", "article", "main", "td")), tuple(rng.choice(CONTENT_NAMES).split()))] * 4]
     )
 
     def part(name: str, words: tuple[str, ...], inside: list, n: int, long: bool) -> None:
         item = rng.choice(("p", "li", "div", "span", "span", "td", "button", "h1", "h2", "h3") if not long else ("p", "p", "div", "li", "span", "h2"))
+        # teasers are articles too
+        teaser = [("article", ())] if name in ("aside", "nav", "footer") and not words and rng.random() < 0.15 else []
         for _ in range(n):
             text = rng.choice(content) if long else rng.choice(other)
             text = text if long or rng.random() < 0.7 else " ".join(text.split()[: rng.randint(1, 4)])
             link = len(text) if not long and rng.random() < 0.5 else 0
-            out.append((Block(text, (*inside, (name, words), *([(item, ())] if item != "span" else [])), link), 0))
+            out.append((Block(text, (*inside, (name, words), *teaser, *([(item, ())] if item != "span" else [])), link), 0))
 
     def surroundings(inside: list, most: int) -> None:
         for _ in range(rng.randint(0, most)):
@@ -129,15 +186,34 @@ def layout(content: list[str], other: list[str], rng: random.Random) -> list[tup
             else:
                 part(rng.choice(("div", "section", "ol", "ul")), tuple(rng.choice(COMMENT_NAMES).split()), inside, rng.randint(1, 4), rng.random() < 0.8)
 
+    def piece(text: str, leaf: tuple[str, ...], link: int = 0) -> None:
+        names = rng.choice(HEADER_NAMES)
+        out.append((Block(text, (*inner, *((t, names if t == "header" else ()) for t in leaf)), link), 1))
+
+    def short(text: str) -> str:
+        return " ".join(text.split()[: rng.randint(1, 8)])
+
     surroundings(base, 3)
-    inner = [*base, holder]
+    around = [*base, ("main", ())] if holder[0] == "article" and rng.random() < 0.4 else base
+    inner = [*around, holder]
     for i, text in enumerate(content):
         if i and rng.random() < 0.25:
             surroundings(inner, 1)
-        leaf = rng.choice(("p", "p", "p", "p", "div", "li", "blockquote", "td")) if i else rng.choice(("h1", "h2", "p"))
-        out.append((Block(text, (*inner, (leaf, ())), len(text) // 5 if rng.random() < 0.1 else 0), 1))
+        if not i:
+            piece(text, rng.choice((("h1",), ("h2",), ("p",), ("header", "h1"), ("header", "h2"), ("header", "div", "h1"))))
+            continue
+        shape = rng.choice(SHAPES)
+        if shape in (("p",), ("div",), ("blockquote", "p"), ("pre",), ("figure", "pre")):
+            piece(text, shape, len(text) // 5 if rng.random() < 0.1 else 0)
+            continue
+        for _ in range(rng.randint(1, 4)):  # items, cells, captions and headings: whole texts and short ones
+            leaf = ("dl", rng.choice(("dt", "dd"))) if shape == ("dl", "dd") else shape
+            words = text if rng.random() < 0.5 else short(text)
+            piece(words, leaf, len(words) if rng.random() < 0.1 else 0)
     if rng.random() < 0.3:
         surroundings(inner, 2)
+    if around is not base:
+        surroundings(around, 1)
     surroundings(base, 3)
     return out
 
@@ -235,9 +311,17 @@ def main_text(model: Crf, page: str | None) -> str:
 
 
 def train(pages: DataFrame, html: str = "html", key: str = "url", max_pages: int = 300) -> Crf:
-    """Fit on at most ``max_pages`` pages, those whose ``key`` hashes lowest."""
-    chosen = pages.where(F.col(html).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(html).alias("html"))
-    return fit(training_pages([r.html for r in chosen.orderBy("h", F.length("html"), "html").limit(max_pages).collect()]))
+    """Fit on at most ``max_pages`` distinct pages, those whose ``key`` hashes lowest.
+
+    Only hashes are compared over all pages; the texts of the picked ones are then fetched, once each.
+    """
+    hashed = pages.where(F.col(html).isNotNull()).select(
+        F.xxhash64(key).alias("h"), F.xxhash64(html).alias("d"), F.col(html).cast("string").alias("page")
+    )
+    picked = hashed.select("h", "d").distinct().orderBy("h", "d").limit(max_pages)
+    texts = hashed.join(F.broadcast(picked), ["h", "d"]).groupBy("h", "d").agg(F.min("page").alias("page"))
+    rows = sorted((r.h, r.d, r.page) for r in texts.collect())
+    return fit(training_pages([page for _, _, page in rows]))
 
 
 def _extract(rows: Iterator[pa.RecordBatch], keep: list[str], model: Crf) -> Iterator[pa.RecordBatch]:

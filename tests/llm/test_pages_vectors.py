@@ -48,6 +48,49 @@ def test_main_text_without_sectioning_markup():
         assert html_crf.main_text(model, page) == f"{TEXT['en']} one.\n{TEXT['en']} two."
 
 
+_NAV, _FOOT = "<nav><ul><li><a href=/a>Menu</a></li></ul></nav>", "<footer>&copy; host</footer>"
+_START = f"<h1>Head</h1><p>{TEXT['en']} one.</p>"
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    return html_crf.fit(html_crf.training_pages([_page("de" if i % 2 else "en", i) for i in range(120)]))
+
+
+@pytest.mark.parametrize(
+    ("part", "lines"),
+    [
+        (f"<ul><li>{TEXT['en']} a.</li><li>short item</li></ul>", [f"{TEXT['en']} a.", "short item"]),
+        (f"<ol><li><p>{TEXT['en']}</p></li></ol>", [TEXT["en"]]),
+        ("<pre>for x in y:\n  print(x)</pre>", ["for x in y: print(x)"]),
+        ("<table><thead><tr><th>Name</th></tr></thead><tbody><tr><td>a</td><td>12</td></tr></tbody></table>", ["Name", "a", "12"]),
+        (f"<dl><dt>Term</dt><dd>{TEXT['en']}</dd></dl>", ["Term", TEXT["en"]]),
+        ("<figure><img src=x><figcaption>A caption here</figcaption></figure>", ["A caption here"]),
+        (f"<section class='comments'><article class='comment'><p>{TEXT['en']} no.</p></article></section>", []),
+    ],
+)
+def test_main_text_keeps_all_of_an_article(page_model, part, lines):
+    page = f"<html><body>{_NAV}<article>{_START}{part}<p>{TEXT['en']} two.</p></article>{_FOOT}</body></html>"
+    assert html_crf.main_text(page_model, page).split("\n") == ["Head", f"{TEXT['en']} one.", *lines, f"{TEXT['en']} two."]
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_of_the_body_say_nothing_of_a_block(page_model, tag):
+    page = f'<html class="menu"><body class="single has-sidebar header-fixed">{_NAV}<{tag}>{_START}</{tag}>{_FOOT}</body></html>'
+    assert html_crf.main_text(page_model, page) == f"Head\n{TEXT['en']} one."
+
+
+def test_title_in_a_header(page_model):
+    page = f"<html><body><header><p>My site</p></header>{_NAV}<article><header><h1>Title</h1></header><p>{TEXT['en']} one.</p></article></body></html>"
+    assert html_crf.main_text(page_model, page) == f"Title\n{TEXT['en']} one."
+    assert html_crf.markup_labels(leaf_blocks(page)) == [0, 0, 1, 1]
+
+
+def test_training_takes_equal_pages_once(pages):
+    once, often = html_crf.train(pages), html_crf.train(pages.union(pages).union(pages))
+    assert np.array_equal(once.weights, often.weights)
+
+
 def test_viterbi_finds_the_best_labels():
     rng = np.random.default_rng(3)
     model = html_crf.Crf(rng.normal(size=(html_crf.BUCKETS, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
