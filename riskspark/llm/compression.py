@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from riskspark.llm.kept import kept_apart
 from riskspark.llm.textbytes import Texts, blocks, hash_runs, small_batches, windows
 
 _SYMBOL = np.zeros(256, bool)
@@ -37,7 +38,7 @@ class Limits:
     high: float
 
 
-# Whole documents, by length; the first band has no limits beyond "not wholly one repeated character".
+# Whole documents, by length; the first band has no limits in effect.
 DOCUMENT_BANDS = (
     Limits(0, 0.0, 9.0), Limits(100, 0.25, 1.20), Limits(200, 0.22, 1.02), Limits(500, 0.20, 0.92), Limits(1000, 0.17, 0.84),
     Limits(2000, 0.14, 0.78), Limits(5000, 0.11, 0.74), Limits(20000, 0.08, 0.72),
@@ -185,6 +186,7 @@ def _score(rows: Iterator[pa.RecordBatch], keep: list[str], options: dict) -> It
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *options["names"]])
 
 
+@kept_apart()
 def compression_rules(
     docs: DataFrame,
     text: str = "text",

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.html_blocks import Block, leaf_blocks
+from riskspark.llm.kept import kept_apart
 from riskspark.llm.textbytes import small_batches
 
 BUCKETS = 1 << 14
@@ -331,6 +332,7 @@ def _extract(rows: Iterator[pa.RecordBatch], keep: list[str], model: Crf) -> Ite
         yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
 
 
+@kept_apart()
 def extract_main_text(pages: DataFrame, model: Crf, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (columns ``keep``, default all) with ``text`` and ``n_chars``; columns of these names give way."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.llm.html_blocks import leaf_blocks
+from riskspark.llm.kept import kept_apart
 from riskspark.llm.textbytes import small_batches
 from riskspark.session import scratch_path
 
@@ -112,6 +113,7 @@ def _signals(rows: Iterator[pa.RecordBatch], keep: list[str], model: TextModel)
         yield pa.RecordBatch.from_arrays(columns, names=[*keep, "host", "domain", "suffix", "declared", "__text"])
 
 
+@kept_apart(left_out="html_col")
 def identify(pages: DataFrame, model: TextModel, url: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (columns ``keep``, default all but the html) with ``host, domain, suffix, declared, text_lang, lang,
     confidence``; columns of these names give way."""

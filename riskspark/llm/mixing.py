@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.kept import kept_apart
 from riskspark.session import scratch_path
 
 GRID = 32
@@ -112,6 +113,7 @@ def source_weights(tokens: DataFrame, target: Target) -> DataFrame:
     return weighted.withColumn("yield_tokens", F.col("weight") * F.lit(budget)).withColumn("exponent", F.lit(exponent))
 
 
+@kept_apart("whole", "weight", "yield_tokens", "b_tokens", "b_start", "rotation", "n_tokens", "turn")
 def temperature_mix(
     docs: DataFrame, target: Target = Target(), source: str = "source", text: str = "text", seed: int = 11, block_docs: int = BLOCK_DOCS,
     keep: list[str] | None = None,

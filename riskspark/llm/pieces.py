@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from riskspark.llm.kept import kept_apart
 from riskspark.llm.textbytes import small_batches
 
 SPACE = "▁"
@@ -229,6 +230,7 @@ def _digests(rows: Iterator[pa.RecordBatch], keep: list[str], path: str, with_te
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+@kept_apart()
 def encode_documents(
     docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, with_texts: bool = True
 ) -> DataFrame:

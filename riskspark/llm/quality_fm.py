@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.compression import base_counts
+from riskspark.llm.kept import kept_apart
 from riskspark.llm.textbytes import Texts, blocks, hash_runs, lower_ascii, small_batches
 
 WORD_BUCKETS = 1 << 15
@@ -197,6 +198,7 @@ def train(
     return fit(rows, np.array(table.column("label").to_pylist(), float), **options)
 
 
+@kept_apart()
 def score(docs: DataFrame, model: Model, text: str = "text", declared: str | None = "n_chars", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``keep``, default all) with ``score``; a column of that name gives way."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]

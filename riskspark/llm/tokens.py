@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.llm.kept import kept_apart
 from riskspark.llm.textbytes import small_batches
 from riskspark.session import scratch_path
 
@@ -130,6 +131,7 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+@kept_apart()
 def token_counts(
     docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
