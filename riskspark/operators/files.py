@@ -19,7 +19,6 @@ from riskspark.functions.rows import exploded
 from riskspark.functions.paths import basename, collision_key, dirname, suffix
 
 SNAPSHOT = ["repo_id", "snapshot_id"]
-# A file is compared with every marked directory of its snapshot, so only a handful is broadcast.
 
 
 def _any(conditions) -> Column:
