@@ -29,6 +29,7 @@ from riskspark.functions.text import (
     strip_comment,
     truncate_evidence,
 )
+from riskspark.functions.toml import toml_strings
 
 KEYS = ["repo_id", "snapshot_id", "path"]
 HIT = "struct<no:int,ord:int,line:int,evidence:string>"
@@ -247,29 +248,52 @@ def _package_json(f: _File) -> list[Column]:
     return [F.when(rule_applies("package_json", f.path), F.coalesce(hits, _none())).otherwise(_none())]
 
 
-def toml_sections(text: Column) -> tuple[Column, Column]:
-    """Section names and bodies of a TOML text, in order, as two parallel arrays."""
-    pattern = r"(?m)^[ \t]*\[([^\[\]\n]+)\][ \t]*(?:#[^\n]*)?\r?$((?:\n(?![ \t]*\[)[^\n]*)*+)"
-    return F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
+def _cargo(f: _File, strings: Column, config: Column) -> Column:
+    """Findings of the names and values of a Cargo manifest or configuration."""
 
+    def named(*path: str | Column) -> Column:
+        parts = F.array(*[F.lit(p) if isinstance(p, str) else p for p in path])
+        found = F.filter(strings, lambda s: s.getField("value").isNotNull() & (s.getField("path") == parts))
+        return F.get(found, F.lit(0)).getField("value")
 
-def _toml_string(body: Column, key: str) -> Column:
-    return F.try_element_at(
-        F.regexp_extract_all(body, F.lit(rf"(?m)^[ \t]*(?:{key}|\"{key}\")[ \t]*=[ \t]*[\"']([^\"'\n]*)[\"']"), 1), F.lit(1)
+    below = lambda root: F.filter(strings, lambda s: F.get(s.getField("path"), F.lit(0)) == root)
+    manifest = F.transform(
+        F.filter(F.array(named("package", "build")), lambda b: b.isNotNull()),
+        lambda b: _entry(
+            R.rule_number("RUST_BUILD_SCRIPT"), f.line("build"), F.concat(F.lit('package.build = "'), b, F.lit('"'))
+        ),
     )
+    sources = F.filter(F.array_distinct(F.transform(below("source"), lambda s: F.get(s.getField("path"), F.lit(1)))), lambda n: n.isNotNull())
+    replaced = F.transform(
+        F.filter(
+            F.transform(
+                sources,
+                lambda n: F.struct(
+                    n.alias("name"),
+                    F.coalesce(*[F.concat(F.lit(f"{key}="), named("source", n, key)) for key in R.CARGO_SOURCE_KEYS]).alias("found"),
+                ),
+            ),
+            lambda s: s.getField("found").isNotNull(),
+        ),
+        lambda s, i: _entry(
+            R.rule_number("RUST_CARGO_SOURCE_REPLACEMENT"), f.line(s.getField("found")),
+            F.concat(F.lit("source."), s.getField("name"), F.lit(": "), s.getField("found")), i,
+        ),
+    )
+    aliases = F.transform(
+        F.filter(below("alias"), lambda s: s.getField("value").isNotNull() & (F.size(s.getField("path")) == 2)),
+        lambda s, i: _entry(
+            R.rule_number("RUST_CARGO_ALIAS"), f.line(F.get(s.getField("path"), F.lit(1))),
+            F.concat(F.get(s.getField("path"), F.lit(1)), F.lit(": "), s.getField("value")), i,
+        ),
+    )
+    return F.when(config, F.concat(replaced, aliases)).otherwise(manifest)
 
 
 def _rust(f: _File) -> list[Column]:
-    names, bodies = toml_sections(f.text)
-    sections = F.arrays_zip(names.alias("name"), bodies.alias("body"))
-    package = F.try_element_at(F.filter(sections, lambda s: strip(s.getField("name")) == "package"), F.lit(1))
-    build = _toml_string(package.getField("body"), "build")
-    no = R.rule_number("RUST_BUILD_SCRIPT")
-    manifest = _when(
-        (f.name == "Cargo.toml") & build.isNotNull(), no, f.line("build"),
-        F.concat(F.lit('package.build = "'), build, F.lit('"')),
-    )
-    script = _when(f.name == "build.rs", no, F.lit(1), F.lit("Rust build script file"))
+    config = f.path == ".cargo/config.toml"
+    strings = F.when(config | (f.name == "Cargo.toml"), toml_strings(f.text, R.CARGO_TABLES))
+    script = _when(f.name == "build.rs", R.rule_number("RUST_BUILD_SCRIPT"), F.lit(1), F.lit("Rust build script file"))
     lock_line = F.try_element_at(
         F.filter(
             split_lines(f.text),
@@ -281,56 +305,9 @@ def _rust(f: _File) -> list[Column]:
         (f.name == "Cargo.lock") & lock_line.isNotNull(), R.rule_number("RUST_CARGO_GIT_SOURCE"),
         f.line("git+"), truncate_evidence(strip(lock_line)),
     )
-
-    is_config = f.path == ".cargo/config.toml"
-
-    def replacement(s: Column) -> Column:
-        found = F.coalesce(
-            *[
-                F.when(
-                    _toml_string(s.getField("body"), key).isNotNull(),
-                    F.concat(F.lit(f"{key}="), _toml_string(s.getField("body"), key)),
-                )
-                for key in R.CARGO_SOURCE_KEYS
-            ]
-        )
-        return F.struct(
-            F.regexp_replace(strip(F.regexp_replace(s.getField("name"), r"^\s*source\.", "")), "^[\"']|[\"']$", "").alias("name"),
-            found.alias("found"),
-        )
-
-    sources = F.filter(
-        F.transform(F.filter(sections, lambda s: s.getField("name").rlike(r"^\s*source\.")), replacement),
-        lambda s: s.getField("found").isNotNull(),
-    )
-    replaced = F.transform(
-        sources,
-        lambda s, i: _entry(
-            R.rule_number("RUST_CARGO_SOURCE_REPLACEMENT"), f.line(s.getField("found")),
-            F.concat(F.lit("source."), s.getField("name"), F.lit(": "), s.getField("found")), i,
-        ),
-    )
-    alias_pattern = r"(?m)^[ \t]*[\"']?([A-Za-z0-9_-]+)[\"']?[ \t]*=[ \t]*[\"']([^\"'\n]*)[\"']"
-    alias_body = F.try_element_at(F.filter(sections, lambda s: strip(s.getField("name")) == "alias"), F.lit(1)).getField(
-        "body"
-    )
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(alias_body, F.lit(alias_pattern), 1).alias("name"),
-        F.regexp_extract_all(alias_body, F.lit(alias_pattern), 2).alias("command"),
-    )
-    aliases = F.transform(
-        pairs,
-        lambda p, i: _entry(
-            R.rule_number("RUST_CARGO_ALIAS"), f.line(p.getField("name")),
-            F.concat(p.getField("name"), F.lit(": "), p.getField("command")), i,
-        ),
-    )
-    return [
-        manifest,
-        script,
-        lock,
-        F.when(is_config, F.concat(F.coalesce(replaced, _none()), F.coalesce(aliases, _none()))).otherwise(_none()),
-    ]
+    # A malformed text has no strings and no findings.
+    named = F.get(F.transform(F.array(strings), lambda s: F.coalesce(_cargo(f, s, config), _none())), F.lit(0))
+    return [script, lock, named]
 
 
 def module_replacements(text: Column) -> Column:

@@ -255,7 +255,9 @@ _KEY = "regexp_extract(line, '^\\s*([A-Za-z0-9_-]+)\\s*=', 1)"
 @query("r6_scan_config_sections", f"""
   SELECT repo_id, path AS file, 'RUST_BUILD_SCRIPT' AS rule_id, 'LOW' AS severity, CAST({line_of("'build'")} AS INTEGER) AS line,
          'package.build = "' || {_VALUE} || '"' AS evidence
-  FROM file_lines WHERE path = 'Cargo.toml' AND section = 'package' AND {_KEY} = 'build'
+  FROM file_lines WHERE path = 'Cargo.toml' AND section = 'package' AND {_KEY} = 'build' AND NOT regexp_matches(text, '=\\s*$')
+  UNION ALL SELECT repo_id, path, 'RUST_BUILD_SCRIPT', 'LOW', 1, 'package.build = "' || regexp_extract(text, 'build = "([^"]*)"', 1) || '"'
+  FROM files WHERE path = 'Cargo.toml' AND starts_with(text, 'package = {{') AND contains(text, 'build = ')
   UNION ALL SELECT repo_id, path, 'RUST_BUILD_SCRIPT', 'LOW', 1, 'Rust build script file' FROM files WHERE path = 'build.rs'
   UNION ALL SELECT repo_id, path, 'RUST_CARGO_GIT_SOURCE', 'LOW', min(line_no)::INTEGER, arg_min(trim(line), line_no)
   FROM file_lines WHERE path = 'Cargo.lock' AND contains(line, 'source =') AND contains(line, 'git+') GROUP BY repo_id, path
