@@ -67,7 +67,10 @@ class ChallengeLedger(StatefulProcessor):
         self.live.clear()
         for challenge, value in live.items():
             self.live.updateValue((challenge,), value)
-        self.issued.put([(at,) for at in issued])
+        if issued:
+            self.issued.put([(at,) for at in issued])
+        else:  # a list state cannot hold an empty list
+            self.issued.clear()
         yield pd.DataFrame(out, columns=["manager", "event_id", "challenge_id", "ts", "outcome", "live"])
 
     def close(self) -> None:
