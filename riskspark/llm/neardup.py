@@ -15,7 +15,7 @@ agrees with it on one that is not hot. Sets with more keep all of theirs, so two
 Equal sets are one node. Within a group of nodes that agree on a chunk not all pairs are made: first nodes are
 compared with hubs of their groups only, another one in each round, and the components of these links are found; then, in groups that still
 hold several components, all pairs across components are compared. A pair left out lies within one component, so no
-link that joins anything is lost. Candidates pass a filter on parity sketches with a bit or two for each member (Hamming
+link that joins anything is lost. Candidates pass a filter on parity sketches with four to eight bits for each member (Hamming
 distance), then the exact test on the sets.
 
 Scale: one text of each node is shuffled once, compressed. Its keys are made twice: first the keys alone are counted, and those
@@ -104,8 +104,8 @@ def parity_sketch(members: np.ndarray, n_words: int = SKETCH_WORDS) -> np.ndarra
 
 
 def own_sketch(members: np.ndarray) -> bytes:
-    """Parity sketch with a bit or two for each member: a power of two, so that sketches fold to a common length."""
-    return parity_sketch(members, max(2, 1 << (len(members) - 1).bit_length() >> 6)).tobytes()
+    """Parity sketch with four to eight bits for each member: a power of two, so that sketches fold to a common length."""
+    return parity_sketch(members, max(2, 4 << (len(members) - 1).bit_length() >> 6)).tobytes()
 
 
 def folded(sketches: list[np.ndarray]) -> np.ndarray:
@@ -463,7 +463,7 @@ def _components_of_sets(
 
     # Pairs across the components that are left in a group. Groups come in parts of bounded size, and parts meet in
     # pairs; only pairs whose sketches are near enough leave the task.
-    parts = F.ceil(F.col("size") * (F.col("most") / 4 + 64) / F.lit(PART_BYTES))
+    parts = F.ceil(F.col("size") * (F.col("most") + 64) / F.lit(PART_BYTES))
     entries = opened(labels).join(nodes.select("node", "sketch"), "node")
     entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     entries = entries.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "node", "root", "own", "n", "sketch").alias("e"))
