@@ -136,9 +136,10 @@ def parse_approvals(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = (
         checked.where("error_code IS NULL AND entry_id IS NOT NULL").groupBy("entry_id").agg(F.count("*").alias("n")).where("n > 1")
     )
-    marked = checked.join(repeated.select("entry_id", F.lit("corrupt").alias("repeat")), "entry_id", "left").withColumn(
-        "error_code", F.coalesce("error_code", "repeat")
-    )
+    # Entries without an identifier repeat none; in the join they would all come to one task.
+    named = checked.where("entry_id IS NOT NULL").join(repeated.select("entry_id", F.lit("corrupt").alias("repeat")), "entry_id", "left")
+    named = named.withColumn("error_code", F.coalesce("error_code", "repeat")).drop("repeat")
+    marked = named.unionByName(checked.where("entry_id IS NULL"))
     good = marked.where("error_code IS NULL").withColumn("_v", F.try_parse_json("value"))
     p = "$.provenance."
     typed = good.select(
