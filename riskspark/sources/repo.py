@@ -106,25 +106,28 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.select(F.to_json("report", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-_ENTRY = r"^(\d{6}) (blob|commit|tree) ([0-9a-f]{40}|[0-9a-f]{64}) +(\d+|-)\t([\s\S]+)\z"
+_ENTRY_HEAD = r"^\d{6} (?:blob|commit|tree) (?:[0-9a-f]{40}|[0-9a-f]{64}) +(?:\d+|-)\z"
 
 
 def parse_manifest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S11. Listing lines ``mode type id size TAB path`` to rows and a quarantine."""
-    keys = [c for c in lines.columns if c != "value"]
-
-    def part(group: int):
-        return F.regexp_extract("value", _ENTRY, group)
+    """S11. Listing lines ``mode type id size TAB path`` to rows and a quarantine.
 
-    good = lines.where(F.col("value").rlike(_ENTRY)).select(
+    One pattern is matched a line, on what stands before the first tab; the parts are cut out at fixed places.
+    """
+    keys = [c for c in lines.columns if c != "value"]
+    tab = F.instr("value", "\t")
+    head, path = F.substring_index("value", "\t", 1), F.substr("value", tab + 1)
+    parts = F.split(head, " ")
+    sound = (tab > 0) & (path != "") & head.rlike(_ENTRY_HEAD)
+    good = lines.where(sound).select(
         *keys,
-        part(1).alias("mode"),
-        part(2).alias("object_type"),
-        part(3).alias("object_id"),
-        part(4).try_cast("bigint").alias("size_bytes"),
-        part(5).alias("path"),
+        F.get(parts, F.lit(0)).alias("mode"),
+        F.get(parts, F.lit(1)).alias("object_type"),
+        F.get(parts, F.lit(2)).alias("object_id"),
+        F.substring_index(head, " ", -1).try_cast("bigint").alias("size_bytes"),
+        F.make_valid_utf8(path).alias("path"),
     )
-    bad = lines.where(~F.col("value").rlike(_ENTRY) & (F.col("value") != "")).select(
+    bad = lines.where(~sound & (F.col("value") != "")).select(
         *keys, F.col("value").alias("entry"), F.lit("MCP_REMOTE_TREE_UNSAFE").alias("error_code")
     )
     return good, bad
