@@ -175,12 +175,14 @@ def expand_levels(
             doubts += [too_deep, _status_doubts(level)]
             break
         marked, over = node_budget(level, used, max_nodes)
-        kept = cut(marked.where("admitted").drop("admitted"))
+        kept = level if over is None else cut(marked.where("admitted").drop("admitted"))
         doubts.append(_status_doubts(kept))
         if over is not None:
             doubts.append(over)
         nodes = kept.where("status = 'file'")
-        first = nodes.groupBy("plan_id", *SNAP, F.col("resolved").alias("path")).agg(F.min("ord").alias("ord"))
+        # Sorts for the least ``ord`` and for the join start with a hash: names alike in their first letters are slow to compare.
+        key = F.xxhash64(*SNAP, "resolved").alias("key")
+        first = nodes.groupBy(key, "plan_id", *SNAP, F.col("resolved").alias("path")).agg(F.min("ord").alias("ord"))
         if visited is not None:
             first = first.join(visited, ["plan_id", "path"], "left_anti")
         first = cut(first)
@@ -189,7 +191,8 @@ def expand_levels(
             first.select("plan_id", "path")
         )
         used = granted(used, nodes)
-        level = first.join(edges.where("kind <> 'compose'"), [*SNAP, "path"]).select(
+        followed = edges.where("kind <> 'compose'").withColumn("key", F.xxhash64(*SNAP, "path"))
+        level = first.join(followed, ["key", *SNAP, "path"]).select(
             "plan_id",
             *SNAP,
             F.concat("ord", F.array(F.col("ref_ord"))).alias("ord"),

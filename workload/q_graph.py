@@ -43,7 +43,11 @@ def analysis(t: Tables):
 
 
 def _business_edges(t: Tables) -> DataFrame:
-    """region -> nation -> customer -> order -> line item, as resolved references."""
+    """region -> nation -> customer -> order -> line item, as resolved references; stored, as every level reads them."""
+    return t.stored("business_edges", lambda: _built_edges(t))
+
+
+def _built_edges(t: Tables) -> DataFrame:
 
     def step(table: str, parent: str, parent_key: str, child: str, child_key: str):
         return t.given(table).select(
