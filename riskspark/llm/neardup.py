@@ -16,7 +16,8 @@ Equal sets are one node. Within a group of nodes that agree on a chunk not all p
 compared with hubs of their groups only, another one in each round, and the components of these links are found; then, in groups that still
 hold several components, all pairs across components are compared. A pair left out lies within one component, so no
 link that joins anything is lost. Candidates pass a filter on parity sketches with four to eight bits for each member (Hamming
-distance), then the exact test on the sets.
+distance), then the exact test on the sets. Groups hold their nodes' sketches folded to a quarter, as a node is in many groups; the
+few pairs these let through meet the whole sketches.
 
 Scale: one text of each node is shuffled once, compressed. Its keys are made twice: first the keys alone are counted, and those
 that several nodes hold are put in a Bloom filter of fixed size; then keys that the filter does not hold are dropped where they are
@@ -114,6 +115,12 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches])
 
 
+def brief_sketch(sketch: bytes) -> bytes:
+    """The sketch folded to a bit or two for each member."""
+    words = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, max(2, len(words) // 4)), axis=0).tobytes()
+
+
 def bands_of(size: int, num: int, den: int) -> tuple[int, int]:
     """The set's own band and the next."""
     own = int(np.searchsorted(_starts(num, den), size, side="right")) - 1
@@ -158,17 +165,19 @@ def _signatures(rows: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> I
     for batch in rows:
         for texts in blocks(batch.column("text")):
             sets = shingle_sets(texts, k)
+            sketches = [own_sketch(s) if len(s) else None for s in sets]
             spare = [[chunk_count(b, num, den)[1] for b in bands_of(len(s), num, den)] if len(s) else [0, 0] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).slice(texts.first, len(texts)) for c in ("id", "digest")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([own_sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array(sketches, pa.binary()),
+                    pa.array([s if s is None else brief_sketch(s) for s in sketches], pa.binary()),
                     pa.array([x[0] for x in spare], pa.int32()),
                     pa.array([x[1] for x in spare], pa.int32()),
                 ],
-                names=["id", "digest", "n", "sid", "sketch", "spare_own", "spare_next"],
+                names=["id", "digest", "n", "sid", "sketch", "brief", "spare_own", "spare_next"],
             )
 
 
@@ -283,7 +292,7 @@ def _near_in_group(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
             part, node, root, own, n = (
                 group.values.field(c).to_numpy(zero_copy_only=False) for c in ("part", "node", "root", "own", "n")
             )
-            sketch = folded(_sketches(group.values.field("sketch")))
+            sketch = folded(_sketches(group.values.field("brief")))
             others = np.arange(len(node)) if low[i] == high[i] else np.flatnonzero(part == high[i])
             a, b = [], []
             for x in range(len(node)) if low[i] == high[i] else np.flatnonzero(part == low[i]):
@@ -328,15 +337,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int, sifted: bool) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that link; ``sifted`` pairs have passed the test on sketches."""
-    if not sifted:
-        small = nodes.select("node", "n", "sketch")
-        for side in ("a", "b"):
-            pairs = pairs.join(small.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-        pairs = pairs.mapInArrow(lambda rows: _near_by_sketch(rows, num, den), "a long, b long")
+def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The distinct pairs ``(a, b)`` of nodes that link."""
+    small = nodes.select("node", "n", "sketch")
+    for side in ("a", "b"):
+        pairs = pairs.join(small.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    pairs = pairs.mapInArrow(lambda rows: _near_by_sketch(rows, num, den), "a long, b long")
     # Stored, pairs have a known size, by which Spark chooses how they meet the texts.
-    pairs = _stored(pairs.distinct(), "pairs")
+    pairs = _stored(pairs, "pairs")
     one, two = (
         pairs.join(texts.select(F.col("node").alias(side), F.col("packed").alias(f"text_{side}")), side) for side in ("a", "b")
     )
@@ -396,7 +404,7 @@ def _components_of_sets(
     source = small_batches(source.withColumn("digest", F.xxhash64("text")))
     signed = source.mapInArrow(
         lambda rows: _signatures(rows, k, num, den),
-        "id long, digest long, n long, sid binary, sketch binary, spare_own int, spare_next int",
+        "id long, digest long, n long, sid binary, sketch binary, brief binary, spare_own int, spare_next int",
     )
     signed = _stored(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
@@ -433,9 +441,9 @@ def _components_of_sets(
 
     labels = _stored(shared.select("node").distinct().withColumn("root", F.col("node")), "labels")
 
-    def joined(pairs: DataFrame, labels: DataFrame, sifted: bool = False) -> DataFrame:
+    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Labels after the links among ``pairs``."""
-        links = _stored(_verify(pairs, nodes, texts, k, num, den, sifted), "links")
+        links = _stored(_verify(pairs, nodes, texts, k, num, den), "links")
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         ends = ends.join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).selectExpr("root AS top", "node AS root")
@@ -462,13 +470,13 @@ def _components_of_sets(
         labels = joined(pairs, labels)
 
     # Pairs across the components that are left in a group. Groups come in parts of bounded size, and parts meet in
-    # pairs; only pairs whose sketches are near enough leave the task.
-    parts = F.ceil(F.col("size") * (F.col("most") + 64) / F.lit(PART_BYTES))
-    entries = opened(labels).join(nodes.select("node", "sketch"), "node")
+    # pairs; only pairs whose brief sketches are near enough leave the task.
+    parts = F.ceil(F.col("size") * (F.col("most") / 4 + 64) / F.lit(PART_BYTES))
+    entries = opened(labels).join(nodes.select("node", "brief"), "node")
     entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    entries = entries.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "node", "root", "own", "n", "sketch").alias("e"))
+    entries = entries.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "node", "root", "own", "n", "brief").alias("e"))
     groups = small_batches(entries.groupBy("key", "low", "high").agg(F.collect_list("e").alias("m")))
-    near = groups.mapInArrow(lambda rows: _near_in_group(rows, num, den), "a long, b long")
-    labels = joined(near, labels, sifted=True)
+    near = groups.mapInArrow(lambda rows: _near_in_group(rows, num, den), "a long, b long").distinct()
+    labels = joined(near, labels)
 
     return signed, nodes.join(labels, "node", "left").withColumn("top", F.coalesce("root", "node"))
