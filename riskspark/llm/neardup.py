@@ -16,8 +16,8 @@ Equal sets are one node. Within a group of nodes that agree on a chunk not all p
 compared with hubs of their groups only, another one in each round, and the components of these links are found; then, in groups that still
 hold several components, all pairs across components are compared. A pair left out lies within one component, so no
 link that joins anything is lost. Candidates pass a filter on parity sketches with four to eight bits for each member (Hamming
-distance), then the exact test on the sets. Groups hold their nodes' sketches folded to a quarter, as a node is in many groups; the
-few pairs these let through meet the whole sketches.
+distance), then the exact test on the sets. Groups that are not hot hold their nodes' sketches folded to a quarter, as a node is in
+many groups; the few pairs these let through meet the whole sketches. Hot groups hold whole sketches.
 
 Scale: one text of each node is shuffled once, compressed. Its keys are made twice: first the keys alone are counted, and those
 that several nodes hold are put in a Bloom filter of fixed size; then keys that the filter does not hold are dropped where they are
@@ -292,7 +292,7 @@ def _near_in_group(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
             part, node, root, own, n = (
                 group.values.field(c).to_numpy(zero_copy_only=False) for c in ("part", "node", "root", "own", "n")
             )
-            sketch = folded(_sketches(group.values.field("brief")))
+            sketch = folded(_sketches(group.values.field("held")))
             others = np.arange(len(node)) if low[i] == high[i] else np.flatnonzero(part == high[i])
             a, b = [], []
             for x in range(len(node)) if low[i] == high[i] else np.flatnonzero(part == low[i]):
@@ -337,11 +337,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The distinct pairs ``(a, b)`` of nodes that link."""
-    small = nodes.select("node", "n", "sketch")
     for side in ("a", "b"):
-        pairs = pairs.join(small.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     pairs = pairs.mapInArrow(lambda rows: _near_by_sketch(rows, num, den), "a long, b long")
     # Stored, pairs have a known size, by which Spark chooses how they meet the texts.
     pairs = _stored(pairs, "pairs")
@@ -440,10 +439,12 @@ def _components_of_sets(
     shared = _stored(shared, "kept-keys")
 
     labels = _stored(shared.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    # Only nodes in groups need their sketches again, on their way to pairs and groups.
+    sketches = _stored(nodes.select("node", "n", "sketch", "brief").join(labels, "node", "left_semi"), "sketches")
 
     def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Labels after the links among ``pairs``."""
-        links = _stored(_verify(pairs, nodes, texts, k, num, den), "links")
+        links = _stored(_verify(pairs, sketches, texts, k, num, den), "links")
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         ends = ends.join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).selectExpr("root AS top", "node AS root")
@@ -460,21 +461,26 @@ def _components_of_sets(
 
     for turn in range(HUB_ROUNDS):
         entries = opened(labels)
-        # Hot groups offer another hub per key and turn; of the others a node takes one hub.
-        draw = F.when(F.col("own"), F.xxhash64("node", "key", F.lit(turn)))
-        hubs = entries.groupBy("key").agg(F.min_by("node", draw).alias("hub"))
-        hubs = hubs.join(labels.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
+        # Hot groups offer another hub each turn; of the others a node takes one hub. All groups draw in the same order, so those
+        # with many nodes in common offer few hubs, and a node meets few. A hub of another size cannot link.
+        draw = F.when(F.col("own"), F.xxhash64("node", F.lit(turn)))
+        hubs = entries.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), draw).alias("at"))
+        hubs = hubs.select("key", F.col("at.node").alias("hub"), F.col("at.n").alias("hub_n"), F.col("at.root").alias("hub_root"))
         met = entries.join(hubs, "key").where("root <> hub_root")
+        met = met.where(F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)
         one = met.where(F.col("size") <= HOT).groupBy("node").agg(F.min("hub").alias("hub"))
         pairs = one.union(met.where(F.col("size") > HOT).select("node", "hub")).select(*ordered("node", "hub")).distinct()
         labels = joined(pairs, labels)
 
     # Pairs across the components that are left in a group. Groups come in parts of bounded size, and parts meet in
-    # pairs; only pairs whose brief sketches are near enough leave the task.
-    parts = F.ceil(F.col("size") * (F.col("most") / 4 + 64) / F.lit(PART_BYTES))
-    entries = opened(labels).join(nodes.select("node", "brief"), "node")
+    # pairs; only pairs whose sketches are near enough leave the task. The pairs of a group grow with the square of its size, so
+    # hot groups hold whole sketches, which let hardly any but links through; brief ones serve groups of at most ``HOT`` nodes.
+    hot = F.col("size") > HOT
+    parts = F.ceil(F.col("size") * (F.when(hot, F.col("most")).otherwise(F.col("most") / 4) + 64) / F.lit(PART_BYTES))
+    held = F.when(hot, F.col("sketch")).otherwise(F.col("brief")).alias("held")
+    entries = opened(labels).join(sketches.drop("n"), "node").select("key", "size", "most", "node", "root", "own", "n", held)
     entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    entries = entries.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "node", "root", "own", "n", "brief").alias("e"))
+    entries = entries.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "node", "root", "own", "n", "held").alias("e"))
     groups = small_batches(entries.groupBy("key", "low", "high").agg(F.collect_list("e").alias("m")))
     near = groups.mapInArrow(lambda rows: _near_in_group(rows, num, den), "a long, b long").distinct()
     labels = joined(near, labels)

@@ -192,6 +192,32 @@ def test_near_duplicates_of_groups_in_many_parts(spark, monkeypatch):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90, 100)
 
 
+def test_large_groups_hand_few_pairs_to_the_join_on_sketches(spark, monkeypatch):
+    """Copies of one text, any two a little less alike than asked for: their pairs grow with the square of the group."""
+    met, verify = [], neardup._verify
+
+    def seen(pairs, *rest):
+        met.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verify", seen)
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", 0)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=400)
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(0, 400, 5), 6):
+            copy[at] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 8, 10).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == _components(rows, 5, 8, 10)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    links = sum(10 * len(x & y) >= 8 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    assert sum(met) <= links + 500  # of 7,140 pairs
+
+
 def test_near_duplicates_group_keys_without_windows(docs, monkeypatch):
     plans, stored = [], neardup._stored
 
