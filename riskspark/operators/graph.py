@@ -2,7 +2,7 @@
 
 What a file refers to does not depend on the command that reached it, so references are extracted
 and resolved once for all files; each level is then an equality join of the frontier with those
-edges. Every level is checkpointed, which keeps the plan of a level independent of its depth.
+edges. Every level is stored, which keeps the plan of a level independent of its depth.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from riskspark.functions.targets import invocation_targets
 from riskspark.functions.words import joined_words, split_segments
 from riskspark.operators import reach as X
 from riskspark.operators.files import in_skipped_dir, exclude_marked_dirs, language_of
-from riskspark.session import cut
+from riskspark.session import BROADCAST_ROW_LIMIT, fits_broadcast
+from riskspark.session import cut as cut_rows
+from riskspark.session import cut_columns as cut
 
 SNAP = ["repo_id", "snapshot_id"]
 DOUBT_COLUMNS = ["plan_id", "ord", "rule_id", "file", "detail"]
@@ -52,18 +54,18 @@ class Graph:
 
 
 def file_facts(files: DataFrame) -> FileFacts:
-    index = cut(X.file_index(files))
+    index = cut_rows(X.file_index(files))
     walk = exclude_marked_dirs(index.where(~in_skipped_dir(F.col("path"))))
     scripts = X.package_scripts(files)
     return FileFacts(
         index=index,
         walk=walk,
-        edges=cut(X.file_edges(files, index)),
-        scripts=cut(scripts.join(walk.select(*SNAP, "path"), [*SNAP, "path"], "left_semi")),
-        capabilities=cut(X.scan_capabilities(files.select(*SNAP, "path", "text"))),
+        edges=cut_rows(X.file_edges(files, index)),
+        scripts=cut_rows(scripts.join(walk.select(*SNAP, "path"), [*SNAP, "path"], "left_semi")),
+        capabilities=cut_rows(X.scan_capabilities(files.select(*SNAP, "path", "text"))),
         dynamic=X.dynamic_modules(files),
         unreadable=files.where(F.col("text").isNull()).select(*SNAP, "path"),
-        manifests=cut(X.manifest_states(files).join(walk.select(*SNAP, "path"), [*SNAP, "path"], "left_semi")),
+        manifests=cut_rows(X.manifest_states(files).join(walk.select(*SNAP, "path"), [*SNAP, "path"], "left_semi")),
     )
 
 
@@ -112,7 +114,7 @@ def node_budget(level: DataFrame, used: DataFrame, max_nodes: int | None) -> tup
 def granted(used: DataFrame, rows: DataFrame) -> DataFrame:
     """The ledger after these rows have taken their budget."""
     taken = rows.groupBy("plan_id").agg(F.count("*").alias("used"))
-    return cut(used.unionByName(taken).groupBy("plan_id").agg(F.sum("used").alias("used")))
+    return cut_rows(used.unionByName(taken).groupBy("plan_id").agg(F.sum("used").alias("used")))
 
 
 def depth_budget(level: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +152,43 @@ class Levels:
     used: DataFrame
 
 
+# Rows of a level that are shuffled at a time; more of them are joined in slices, each read anew.
+SLICE_ROWS = 50_000_000
+
+
+def _sliced(rows: int, *frames: DataFrame) -> list[list[DataFrame]]:
+    """Frames with ``key`` cut into slices that only meet each other, so that disk holds the shuffle of one slice."""
+    n = max(1, -(-rows // SLICE_ROWS))
+    return [[f if n == 1 else f.where(F.pmod("key", F.lit(n)) == i) for f in frames] for i in range(n)]
+
+
+def _leading(nodes: DataFrame, rows: int, sources: DataFrame) -> DataFrame:
+    """Nodes of a wide level whose file refers to anything, by its hash. Most lead nowhere, and need no least path and no join.
+
+    Where two hashes are equal by chance a node is kept that the join with the edges drops. Slices are twice as large as those of
+    that join, as no edges are shuffled.
+    """
+    return cut(*[part.hint("merge").join(leads, "key", "left_semi").drop("key") for part, leads in _sliced(rows // 2, nodes, sources)])
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    """Edges as they meet a level: a resolved name that equals the target, as most do, is not shuffled and stored twice."""
+    same = F.col("resolved").eqNullSafe(F.col("target"))
+    return edges.where("kind <> 'compose'").select(
+        *SNAP, "path", "ref_ord", "kind", "target", "reason", F.when(~same, F.col("resolved")).alias("resolved"), same.alias("same"), "status"
+    )
+
+
+def _unpacked(level: DataFrame, columns: list[str]) -> DataFrame:
+    """A stored level with what is told by its other columns."""
+    return level.withColumns(
+        {
+            "parent_ord": F.slice("ord", 1, F.size("ord") - 1),
+            "resolved": F.when(F.col("same"), F.col("target")).otherwise(F.col("resolved")),
+        }
+    ).select(*columns)
+
+
 def expand_levels(
     level: DataFrame,
     edges: DataFrame,
@@ -164,10 +203,15 @@ def expand_levels(
     status``. ``ord`` is the path of reference positions from the command, so sorting by it gives
     the order a depth-first reader would meet the nodes.
     """
-    columns = level.columns
+    columns, parts = level.columns, [level]
     visits, doubts = [], []
+    # Sorts start with a hash: names alike in their first letters are slow to compare.
+    key, mark = F.xxhash64(*SNAP, "path"), F.xxhash64("plan_id", "path")
+    edges, sources = _packed(edges).withColumn("key", key), None
     for depth in range(max_depth + 1):
-        level = cut(level)
+        level = cut(*parts)
+        if depth:
+            level = _unpacked(level, columns)
         if level.isEmpty():
             break
         if depth == max_depth:
@@ -180,30 +224,41 @@ def expand_levels(
         if over is not None:
             doubts.append(over)
         nodes = kept.where("status = 'file'")
-        # Sorts for the least ``ord`` and for the join start with a hash: names alike in their first letters are slow to compare.
-        key = F.xxhash64(*SNAP, "resolved").alias("key")
-        first = nodes.groupBy(key, "plan_id", *SNAP, F.col("resolved").alias("path")).agg(F.min("ord").alias("ord"))
+        visits.append(nodes.withColumn("depth", F.lit(depth + 1)))
+        used = granted(used, nodes)
+        first = nodes.select("plan_id", *SNAP, F.col("resolved").alias("path"), "ord").withColumn("key", key)
+        # Rows are counted before bytes are measured: the latter gathers as many rows as may be broadcast from each task.
+        few = (rows := first.count()) <= BROADCAST_ROW_LIMIT and fits_broadcast(first)
+        if not few:
+            sources = cut(edges.select("key").distinct()) if sources is None else sources
+            first = _leading(first, rows, sources).withColumn("key", key)
+        first = first.groupBy("key", "plan_id", *SNAP, "path").agg(F.min("ord").alias("ord")).drop("key")
         if visited is not None:
-            first = first.join(visited, ["plan_id", "path"], "left_anti")
+            first = first.withColumn("mark", mark).join(visited.withColumn("mark", mark), ["mark", "plan_id", "path"], "left_anti").drop("mark")
         first = cut(first)
-        visits.append(nodes.withColumn("depth", F.lit(depth + 1)))
+        if first.isEmpty():
+            break
         visited = first.select("plan_id", "path") if visited is None else visited.unionByName(
             first.select("plan_id", "path")
         )
-        used = granted(used, nodes)
-        followed = edges.where("kind <> 'compose'").withColumn("key", F.xxhash64(*SNAP, "path"))
-        level = first.join(followed, ["key", *SNAP, "path"]).select(
-            "plan_id",
-            *SNAP,
-            F.concat("ord", F.array(F.col("ref_ord"))).alias("ord"),
-            F.col("ord").alias("parent_ord"),
-            F.col("path").alias("parent_file"),
-            "kind",
-            "target",
-            "reason",
-            "resolved",
-            "status",
-        ).select(*columns)
+        # A few files meet the edges where these are read; otherwise both sides are shuffled.
+        first = first.withColumn("key", key)
+        meeting = [[F.broadcast(first), edges]] if few else _sliced(first.count(), first.hint("merge"), edges)
+        parts = [
+            found.join(followed, ["key", *SNAP, "path"]).select(
+                "plan_id",
+                *SNAP,
+                F.concat("ord", F.array(F.col("ref_ord"))).alias("ord"),
+                F.col("path").alias("parent_file"),
+                "kind",
+                "target",
+                "reason",
+                "resolved",
+                "same",
+                "status",
+            )
+            for found, followed in meeting
+        ]
     return Levels(reduce(DataFrame.unionByName, visits) if visits else None, doubts, used)
 
 
@@ -390,7 +445,7 @@ def seed_frontier(
     plans: DataFrame, facts: FileFacts, max_nodes: int | None = MAX_NODES
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """G2. Where analysis of a command starts: ``(script seeds, file seeds, command seeds)``."""
-    segments = cut(_segments(plans))
+    segments = cut_rows(_segments(plans))
     requests = _build_requests(segments)
 
     # Package scripts: lifecycle scripts on installs, named scripts on builds.
@@ -490,14 +545,14 @@ def expand_commands(
     by_name = _first_per(facts.scripts, [*SNAP, "name"], ["path", "script_ord"], max_nodes)
     targets, nodes, doubts = [], [], []
     while True:
-        rows = cut(rows)
+        rows = cut_rows(rows)
         if rows.isEmpty():
             break
         parsed = numbered(rows, invocation_targets(F.col("command")), "i", "t").select(
             "plan_id", *SNAP, F.concat("ord", F.array("i")).alias("ord"), "parent_ord", "parent_file", "base_dir",
             "reason", "trail", "t.kind", "t.target", F.col("t.reason").alias("own_reason"),
         )
-        parsed = cut(parsed)
+        parsed = cut_rows(parsed)
         doubts.append(
             parsed.where("kind = 'doubt'").select(
                 "plan_id", "ord", F.col("own_reason").alias("rule_id"), F.col("parent_file").alias("file"),
@@ -537,10 +592,10 @@ def expand_commands(
             "plan_id", *SNAP, F.col("next_ord").alias("ord"), "parent_ord", F.col("parent_file").alias("caller"),
             F.col("path").alias("parent_file"), F.col("label").alias("target"), F.lit("file").alias("status"), "command", "reason", "trail",
         )
-        marked, over = node_budget(cut(asked), used, max_nodes)
+        marked, over = node_budget(cut_rows(asked), used, max_nodes)
         if over is not None:
             doubts.append(over)
-        fresh = cut(marked.where("admitted"))
+        fresh = cut_rows(marked.where("admitted"))
         used = granted(used, fresh)
         nodes.append(
             fresh.select(
@@ -623,7 +678,7 @@ def reach(
         ),
         allowMissingColumns=True,
     )
-    seed_rows = cut(
+    seed_rows = cut_rows(
         seed_rows.withColumns(
             {
                 "status": F.lit("file"), "target": F.col("label"), "parent_file": F.col("file"),
@@ -632,7 +687,7 @@ def reach(
     )
     used = plans.select("plan_id", F.lit(1).cast("bigint").alias("used"))
     marked, over = node_budget(seed_rows, used, max_nodes)
-    seeds = cut(marked.where("admitted").drop("admitted"))
+    seeds = cut_rows(marked.where("admitted").drop("admitted"))
     doubts = [over] if over is not None else []
     used = granted(used, seeds)
     doubts.append(manifest_doubts(manifest_readers(plans), facts.manifests))
@@ -678,8 +733,8 @@ def reach(
     level = seed_edges
     if targets is not None:
         level = level.unionByName(X.resolve(targets, facts.index).select(*columns))
-        script_nodes = cut(script_nodes)
-    makefiles = cut(
+        script_nodes = cut_rows(script_nodes)
+    makefiles = cut_rows(
         seeds.where("group = 'make'").groupBy("plan_id", F.col("file").alias("path")).agg(F.min("ord").alias("ord"))
     )
     levels = expand_levels(level, facts.edges, used, max_depth, max_nodes, visited=makefiles.select("plan_id", "path"))
@@ -717,7 +772,7 @@ def reach(
                 "depth", "reason", "parent_ord",
             )
         )
-    every = cut(reduce(DataFrame.unionByName, parts))
+    every = cut_rows(reduce(DataFrame.unionByName, parts))
     nodes = every.select(
         "plan_id", _node_id(F.col("ord")).alias("node_id"), "ord", "type", "label", "file", "command", "language", "depth"
     )
@@ -734,7 +789,7 @@ def reach(
         scanned = scanned.unionByName(
             visits.groupBy("plan_id", *SNAP, F.col("resolved").alias("file")).agg(F.min("ord").alias("ord"))
         )
-    scanned = cut(scanned)
+    scanned = cut_rows(scanned)
     capabilities = read.unionByName(scanned).join(facts.capabilities, [*SNAP, "file"]).select(
         "plan_id", "ord", F.col("rule_ord"), "rule_id", "severity", "file", "line", "capability", "evidence",
         "recommendation",

@@ -14,7 +14,7 @@ from riskspark.operators import scan as S
 from riskspark.catalogue.files import CRITICAL_BASENAMES
 from riskspark.plans.assess import assess
 from riskspark.plans.incremental import assess_incremental, plan_fingerprints
-from riskspark.session import scratch_path
+from riskspark.session import cut_columns, scratch_path
 from workload.q_policy import per_command, plans
 from workload.q_rules import EXT, NAME, in_list, q
 from workload.registry import Tables, define, query
@@ -43,8 +43,11 @@ def analysis(t: Tables):
 
 
 def _business_edges(t: Tables) -> DataFrame:
-    """region -> nation -> customer -> order -> line item, as resolved references; stored, as every level reads them."""
-    return t.stored("business_edges", lambda: _built_edges(t))
+    """region -> nation -> customer -> order -> line item, as resolved references; what differs is stored, as every level reads it."""
+    return kept(t, "business_edges", lambda: cut_columns(_built_edges(t))).select(
+        F.lit("r").alias("repo_id"), F.lit("s").alias("snapshot_id"), "path", "ref_ord", F.lit("shell").alias("kind"), "target",
+        F.lit("holds").alias("reason"), F.col("target").alias("resolved"), F.lit("file").alias("status"),
+    )
 
 
 def _built_edges(t: Tables) -> DataFrame:
@@ -61,16 +64,12 @@ def _built_edges(t: Tables) -> DataFrame:
         F.col("l_linenumber").alias("ref_ord"),
         F.concat_ws("/", F.lit("line"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("target"),
     )
-    rows = reduce(DataFrame.unionByName, [
+    return reduce(DataFrame.unionByName, [
         step("nation", "region", "n_regionkey", "nation", "n_nationkey"),
         step("customer", "nation", "c_nationkey", "customer", "c_custkey"),
         step("orders", "customer", "o_custkey", "order", "o_orderkey"),
         lines,
     ])
-    return rows.select(
-        F.lit("r").alias("repo_id"), F.lit("s").alias("snapshot_id"), "path", "ref_ord", F.lit("shell").alias("kind"), "target",
-        F.lit("holds").alias("reason"), F.col("target").alias("resolved"), F.lit("file").alias("status"),
-    )
 
 
 def _first_level(t: Tables) -> DataFrame:
