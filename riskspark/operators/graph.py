@@ -23,7 +23,7 @@ from riskspark.functions.targets import invocation_targets
 from riskspark.functions.words import joined_words, split_segments
 from riskspark.operators import reach as X
 from riskspark.operators.files import in_skipped_dir, exclude_marked_dirs, language_of
-from riskspark.session import BROADCAST_ROW_LIMIT, fits_broadcast
+from riskspark.session import BROADCAST_ROW_LIMIT, fits_broadcast, release
 from riskspark.session import cut as cut_rows
 from riskspark.session import cut_columns as cut
 
@@ -162,13 +162,21 @@ def _sliced(rows: int, *frames: DataFrame) -> list[list[DataFrame]]:
     return [[f if n == 1 else f.where(F.pmod("key", F.lit(n)) == i) for f in frames] for i in range(n)]
 
 
+def _stored(few: bool, *parts: DataFrame) -> DataFrame:
+    """What a step of the level loop made; a wide step shuffled much, which goes before the next."""
+    stored = cut(*parts)
+    if not few:
+        release(stored.sparkSession)
+    return stored
+
+
 def _leading(nodes: DataFrame, rows: int, sources: DataFrame) -> DataFrame:
     """Nodes of a wide level whose file refers to anything, by its hash. Most lead nowhere, and need no least path and no join.
 
     Where two hashes are equal by chance a node is kept that the join with the edges drops. Slices are twice as large as those of
     that join, as no edges are shuffled.
     """
-    return cut(*[part.hint("merge").join(leads, "key", "left_semi").drop("key") for part, leads in _sliced(rows // 2, nodes, sources)])
+    return _stored(False, *[part.hint("merge").join(leads, "key", "left_semi").drop("key") for part, leads in _sliced(rows // 2, nodes, sources)])
 
 
 def _packed(edges: DataFrame) -> DataFrame:
@@ -203,13 +211,13 @@ def expand_levels(
     status``. ``ord`` is the path of reference positions from the command, so sorting by it gives
     the order a depth-first reader would meet the nodes.
     """
-    columns, parts = level.columns, [level]
+    columns, parts, few = level.columns, [level], True
     visits, doubts = [], []
     # Sorts start with a hash: names alike in their first letters are slow to compare.
     key, mark = F.xxhash64(*SNAP, "path"), F.xxhash64("plan_id", "path")
     edges, sources = _packed(edges).withColumn("key", key), None
     for depth in range(max_depth + 1):
-        level = cut(*parts)
+        level = _stored(few, *parts)
         if depth:
             level = _unpacked(level, columns)
         if level.isEmpty():
@@ -230,13 +238,13 @@ def expand_levels(
         # Rows are counted before bytes are measured: the latter gathers as many rows as may be broadcast from each task.
         few = (rows := first.count()) <= BROADCAST_ROW_LIMIT and fits_broadcast(first)
         if not few:
-            sources = cut(edges.select("key").distinct()) if sources is None else sources
+            sources = _stored(False, edges.select("key").distinct()) if sources is None else sources
             first = _leading(first, rows, sources).withColumn("key", key)
         first = first.groupBy("key", "plan_id", *SNAP, "path").agg(F.min("ord").alias("ord")).drop("key")
         if visited is not None:
             first = first.withColumn("mark", mark).join(visited.withColumn("mark", mark), ["mark", "plan_id", "path"], "left_anti").drop("mark")
-        first = cut(first)
-        if first.isEmpty():
+        first = _stored(few, first)
+        if not few and first.isEmpty():
             break
         visited = first.select("plan_id", "path") if visited is None else visited.unionByName(
             first.select("plan_id", "path")
